@@ -1 +1,8 @@
 """Palimpsest: prefix-cache analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get this package's functions by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
