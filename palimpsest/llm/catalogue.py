@@ -1,6 +1,10 @@
 """Queries and SQL of this subpackage."""
 
-from palimpsest.llm import exact_dedup
+from palimpsest.llm import exact_dedup, mixing, simhash
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+QUERIES = {
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_source_mixing": mixing.op8_source_mixing,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
 ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
