@@ -1,8 +1,12 @@
 """Queries and SQL of this subpackage."""
 
-from palimpsest.llm import exact_dedup, mixing, simhash
+from palimpsest.llm import decontaminate, exact_dedup, language, mixing, quality, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_quality": quality.op5_quality,
+    "op6_language_id": language.op6_language_id,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
