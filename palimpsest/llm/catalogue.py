@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage."""
 
-from palimpsest.llm import decontaminate, exact_dedup, language, mixing, quality, simhash, toxicity
+from palimpsest.llm import decontaminate, exact_dedup, language, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_quality": quality.op5_quality,
@@ -11,4 +12,4 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op2_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
