@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage."""
 
-from palimpsest.llm import decontaminate, exact_dedup, language, mixing, quality, simhash, toxicity, warc
+from palimpsest.llm import decontaminate, exact_dedup, language, lattice, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": language.op6_language_id,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_lm_scoring": lattice.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {"op2_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
