@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage."""
 
-from palimpsest.llm import decontaminate, exact_dedup, language, lattice, mixing, quality, simhash, toxicity, warc
+from palimpsest.llm import decontaminate, exact_dedup, language, lattice, mixing, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
