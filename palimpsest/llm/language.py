@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import remainder_of_crc
-from palimpsest.llm.textclf import in_pieces, sigmoid
+from palimpsest.llm.textclf import in_pieces, sigmoid, trained
 
 BITS = 12
 TRAIN_ROWS = 1200
@@ -146,28 +146,24 @@ def predict(texts: list, model: dict) -> tuple[list, np.ndarray]:
     return [langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())], np.where(known, np.clip(score, 0, 1), 0.0)
 
 
-def training_rows(docs: DataFrame, held_out, limit: int = TRAIN_ROWS, most_chars: int = 20_000) -> list:
-    """At most ``limit`` rows (lang, text) of each of at most MAX_LANGUAGES languages, in seeded order."""
+def training_rows(docs: DataFrame, held_out, limit: int = TRAIN_ROWS, most_chars: int = 20_000) -> DataFrame:
+    """About ``limit`` rows (lang, text) of each of at most MAX_LANGUAGES languages, in seeded order.
+
+    A hash threshold a language draws its rows; the bound on all rows is exact.
+    """
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("lang", "text", F.xxhash64(F.lit(9), "doc_id", "text").alias("o"))
     sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    out = []
     if not sizes:
-        return out
-    # A hash threshold a language draws somewhat more than the limit; the limit then cuts exactly.
-    share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, 1.2 * limit / n)))])
+        return rows.select("lang", "text").limit(0)
+    share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, limit / n)))])
     drawn = rows.where(F.pmod("o", F.lit(1 << 30)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
-    held: dict[str, int] = {}
-    for r in drawn.orderBy("o", "lang", "text").limit(int(limit * 1.3 * len(sizes)) + 1).collect():
-        if held.get(r.lang, 0) < limit:
-            held[r.lang] = held.get(r.lang, 0) + 1
-            out.append((r.lang, r.text))
-    return out
+    return drawn.orderBy("o", "lang", "text").limit(int(limit * 1.1 * len(sizes)) + 1).select("lang", "text")
 
 
 def identify(docs: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang)."""
     held = remainder_of_crc(F.col("doc_id"), 5) == 0
-    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, held, limit)))
+    model = docs.sparkSession.sparkContext.broadcast(trained(training_rows(docs, held, limit), train))
     rows = docs.select("doc_id", "text")
 
     def run(batches):

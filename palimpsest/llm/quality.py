@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import remainder_of_crc
-from palimpsest.llm.textclf import TokenCodes, in_pieces, sigmoid, token_batch, training_sample
+from palimpsest.llm.textclf import TokenCodes, in_pieces, sigmoid, token_batch, trained, training_sample
 
 WORD_BITS = 17
 FACTORS = 8
@@ -157,8 +157,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFr
     rows = docs.select("doc_id", chars.alias("n_chars"), "text")
     held = remainder_of_crc(F.col("doc_id"), 4) == 2
     sample = training_sample(rows.select("doc_id", F.concat(F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit("\x00"), "text").alias("text")), labels, "quality", limit, held)
-    learnt = [(r.label, t, int(c) if c else None) for r in sample for c, _, t in [r.text.partition("\x00")]]
-    model = docs.sparkSession.sparkContext.broadcast(train(learnt))
+    model = docs.sparkSession.sparkContext.broadcast(trained(sample, lambda rows: train([(y, t, int(c) if c else None) for y, x in rows for c, _, t in [x.partition("\x00")]])))
 
     def run(batches):
         codes = TokenCodes()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +46,7 @@ def in_pieces(batches, rows: int = 512, most_chars: int = 8_000_000):
                 start, held = k + 1, 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out, seed: int = 5, most_chars: int = 40_000) -> list:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out, seed: int = 5, most_chars: int = 40_000) -> DataFrame:
     """At most ``limit`` rows (label, text) of the labelled rows that may be learnt from, in seeded order.
 
     The sample is bounded by ``limit`` rows; texts of more than ``most_chars``
@@ -52,7 +55,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     known = labels.select(F.col("doc_id").alias("__l"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __l is not null").dropDuplicates(["__l"])
     rows = docs.select("doc_id", "text").where(~held_out & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     joined = rows.join(known, F.col("doc_id") == F.col("__l"))
-    return joined.select("label", "text", F.xxhash64(F.lit(seed), "doc_id").alias("o"), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text").collect()
+    return joined.select("label", "text", F.xxhash64(F.lit(seed), "doc_id").alias("o"), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text")
+
+
+def trained(sample: DataFrame, train):
+    """``train`` of the rows of a bounded sample, run in one task so that the driver holds the model alone."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train([])  # an empty table may have no task at all
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import remainder_of_crc
-from palimpsest.llm.textclf import TokenCodes, in_pieces, sigmoid, token_batch, training_sample
+from palimpsest.llm.textclf import TokenCodes, in_pieces, sigmoid, token_batch, trained, training_sample
 
 BITS = 23
 #: A slot is learnt if at least so many documents of the sample have it.
@@ -53,16 +53,16 @@ def distinct(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(rows: list) -> tuple[np.ndarray, float]:
-    """(weights, intercept) from rows (label, text)."""
+def train(rows: list) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots with a weight, their weights, intercept) from rows (label, text)."""
     y = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return np.zeros(1 << BITS, dtype=np.float32), -35.0
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), -35.0
     codes, docs = TokenCodes(), []
     for k in range(0, len(rows), 256):
         texts = [r[1] for r in rows[k:k + 256]]
         doc, slot = distinct(*slots(*token_batch(texts, codes)))
-        docs += np.split(slot, np.searchsorted(doc, np.arange(1, len(texts))))
+        docs += np.split(slot.astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts))))
     seen = np.zeros(1 << BITS, dtype=np.int32)
     for i in docs:
         seen[i] += 1
@@ -83,7 +83,8 @@ def train(rows: list) -> tuple[np.ndarray, float]:
                 n[at] += g * g
     w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
     b = -z[last] / ((BETA + np.sqrt(n[last])) / ALPHA + L2)
-    return w[:last].astype(np.float32), float(b)
+    at = np.flatnonzero(w[:last]).astype(np.int32)
+    return at, w[at].astype(np.float32), float(b)
 
 
 def score_batch(texts: list, weights: np.ndarray, bias: float, codes: TokenCodes) -> np.ndarray:
@@ -95,9 +96,8 @@ def score_batch(texts: list, weights: np.ndarray, bias: float, codes: TokenCodes
 
 def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, limit: int = TRAIN_ROWS) -> DataFrame:
     """The columns ``carry`` (by default doc_id) in a struct ``row``, with held_out, score and predicted."""
-    weights, bias = train(training_sample(docs, labels, "toxic", limit, remainder_of_crc(F.col("doc_id"), 4) == 2))
-    at = np.flatnonzero(weights).astype(np.int32)
-    model = docs.sparkSession.sparkContext.broadcast((at, weights[at], bias))
+    sample = training_sample(docs, labels, "toxic", limit, remainder_of_crc(F.col("doc_id"), 4) == 2)
+    model = docs.sparkSession.sparkContext.broadcast(trained(sample, train))
 
     def run(batches):
         at, values, bias = model.value
