@@ -59,3 +59,8 @@ def compaction(leaf: DataFrame, gone: DataFrame, pinned: Column, threshold: int,
     """Live, unpinned, unstriped leaves of the victims that are written anew: per device at most ``most`` (a feature), oldest first."""
     rows = leaf.join(gone.select("dev", "epoch"), ["dev", "epoch"], "left_semi").where(~pinned & (F.col("payload_len") <= threshold))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("dev").orderBy("ver"))).where(F.col("rank") <= most).drop("rank")
+
+
+def checkpoint_due(used: Column, on_last_page: Column, dropped: Column, most: int = 3276) -> Column:
+    """Whether a device's journal asks for a checkpoint: nearly full page, last page, or records dropped since the last one."""
+    return (used > most) | on_last_page | (dropped > 0)

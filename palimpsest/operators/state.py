@@ -3,7 +3,8 @@
 A GET or EVICT sees the last PUT or EVICT of its address before it.  Expiry is
 lazy; a tombstone is kept per prefix and never cleared (except by ``reopened_at``).
 Windows carry PARTITION BY an address or a prefix; their frames only look back,
-so Spark streams a partition through them, with its rows spilling.
+so Spark streams a partition through them, with its rows spilling.  A hot key can
+be cut into stretches (``last_before``).
 """
 
 from __future__ import annotations
@@ -27,13 +28,35 @@ def expired(expire_ts: Column, now: Column) -> Column:
     return (expire_ts != 0) & (expire_ts < now)
 
 
-def point_in_time(ops: DataFrame) -> DataFrame:
-    """Per operation: the leaf it sees, whether its prefix is tombstoned, and its outcome."""
+def last_before(df: DataFrame, keys: list[str], value: Column, out: str, chunk: int | None = None) -> DataFrame:
+    """Adds the last value, not null, of earlier rows of the same keys.
+
+    With ``chunk``, a key's rows are cut into stretches of so many seqs, each a
+    partition of its own; what a stretch starts from is worked out on one row a
+    key and stretch.  So a hot key is spread over many tasks.
+    """
+    if chunk is None:
+        return df.withColumn(out, F.last_value(value, F.lit(True)).over(_before(*keys)))
+    cut = df.withColumn("__chunk", F.floor(F.col("seq") / chunk)).withColumn("__value", value)
+    last = cut.where("__value IS NOT NULL").groupBy(*keys, "__chunk").agg(F.max_by("__value", "seq").alias("__last"))
+    every = cut.select(*keys, "__chunk").distinct().join(last, [*keys, "__chunk"], "left")
+    w = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*keys, "__chunk", F.last_value("__last", F.lit(True)).over(w).alias("__carried"))
+    local = cut.withColumn("__local", F.last_value("__value", F.lit(True)).over(_before(*keys, "__chunk")))
+    joined = local.join(carried, [*keys, "__chunk"])
+    return joined.select(*df.columns, F.coalesce("__local", "__carried").alias(out))
+
+
+def point_in_time(ops: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Per operation: the leaf it sees, whether its prefix is tombstoned, and its outcome.
+
+    ``chunk``: see ``last_before``; for logs with hot addresses or prefixes.
+    """
     change = F.when(F.col("op").isin("PUT", "EVICT"), F.struct("op", "seq", "payload_len", "expire_ts"))
-    seen = ops.withColumn("seen", F.last_value(change, F.lit(True)).over(_before(*ADDRESS)))
+    seen = last_before(ops, ADDRESS, change, "seen", chunk)
     live = seen.withColumn("live", F.coalesce(F.col("seen.op") == "PUT", F.lit(False)))
     evicted = F.when((F.col("op") == "EVICT") & F.col("live") & (F.col("prefix_id") != 0), 1)
-    dead = live.withColumn("tombstoned", F.coalesce(F.max(evicted).over(_before("prefix_id")), F.lit(0)) == 1)
+    dead = last_before(live, ["prefix_id"], evicted, "__dead", chunk).withColumn("tombstoned", F.col("__dead").isNotNull()).drop("__dead")
     outcome = (
         F.when(F.col("op") == "PUT", "OK")
         .when(F.col("op") == "EVICT", F.when(F.col("live"), "OK").otherwise("ENOENT"))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import alloc, durability, gc, index, oplog, placement, state, tier, tokens
+from palimpsest.operators import alloc, durability, gc, index, oplog, placement, sequences, state, tier, tokens
+from palimpsest.plans import views
 from palimpsest.sources.config import Config, geometry_ok, region_pages
 from palimpsest.sources.store import Store, read_config_texts, write_metrics_csv
 from palimpsest.sources.workload import keys
@@ -25,6 +26,13 @@ def test_put_get_evict(spark):
     assert outcomes(df) == ["OK", "HIT", "ENOENT", "OK", "EVICTED", "ENOENT", "OK", "HIT", "EVICTED"]
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 10**6])
+def test_stretches_change_nothing(spark, sf_dir, chunk):
+    ops = oplog.read(spark, sf_dir)
+    a, b = (state.point_in_time(ops, c).select("seq", "outcome", "live", "tombstoned") for c in (None, chunk))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_prefix_zero_has_no_tombstone(spark):
     assert outcomes(log(spark, ("PUT", 0, 0, 0), ("EVICT", 0, 0, 0), ("GET", 0, 0, 0))) == ["OK", "OK", "ENOENT"]
 
@@ -171,6 +179,35 @@ def test_pinned_leaves_survive(spark):
     assert [x.ver for x in gc.drop_regions(leaf, gone, F.col("ver") == 1).collect()] == [1]
 
 
+def test_checkpoint_trigger(spark):
+    j = spark.createDataFrame([(1, 100, False, 0), (2, 4000, False, 0), (3, 1, True, 0), (4, 1, False, 2)], "i int, u int, l boolean, d int")
+    assert [r.i for r in j.where(gc.checkpoint_due(F.col("u"), F.col("l"), F.col("d"))).collect()] == [2, 3, 4]
+
+
+def test_sequences(spark):
+    seqs = spark.createDataFrame([(1, [5, 6, 7]), (2, [5, 6, 7])], "sequence_id long, tokens array<long>")
+    saved = sequences.save(seqs, F.lit(4096), F.lit(100), first_seq=1)
+    leaf = state.leaves(saved)
+    assert saved.select("prefix_id").distinct().count() == 2 and sequences.has(seqs, leaf).count() == 2
+    gone = saved.unionByName(sequences.evict(seqs.where("sequence_id = 1"), F.lit(200), first_seq=10))
+    assert [r.sequence_id for r in sequences.has(seqs, state.leaves(gone)).collect()] == [2]
+    assert sequences.restore(seqs, leaf).where("payload_len = 4096").count() == 2
+
+
+def test_views(spark, sf_dir):
+    views.register(spark, sf_dir, "v_")
+    assert spark.sql("SELECT count(*) FROM v_outcomes WHERE outcome = 'HIT'").first()[0] == spark.sql("SELECT sum(hits) FROM v_prefixes").first()[0]
+    assert spark.sql("SELECT log2_bucket(1024)").first()[0] == 10 and spark.sql("SELECT payload_pages(4097)").first()[0] == 2
+
+
+def test_profile_command(spark, capsys, tmp_path):
+    from palimpsest.__main__ import main
+
+    (tmp_path / "c.json").write_text('{"num_hidden_layers": 32, "num_attention_heads": 32, "num_key_value_heads": 8, "hidden_size": 4096}')
+    assert main(["--list"]) == 0 and main(["llama-3.1-8b"]) == 0 and main(["--config", str(tmp_path / "c.json")]) == 0 and main(["none"]) == 1
+    assert capsys.readouterr().out.count("token_bytes: 131072") == 2
+
+
 def test_latch(spark):
     t = spark.createDataFrame(list(enumerate([10, 81, 75, 71, 60, 75, 90])), "tick long, live_bytes long")
     rows = gc.watermark_latch(t, 100, 80, 60).orderBy("tick").collect()
