@@ -19,9 +19,12 @@ def epoch_trim(regions: DataFrame, now: Column, epoch_secs: int) -> DataFrame:
     return frozen(regions).where((F.col("state") == "FROZEN") & (F.col("live_bytes") == 0) & F.col("close_s").isNotNull() & (now > F.col("base_s") + epoch_secs))
 
 
-def victims(regions: DataFrame) -> DataFrame:
-    """Per device, the region to free by force: an empty frozen one first, else the least live, then the oldest."""
-    return frozen(regions).where("state = 'FROZEN'").groupBy("dev").agg(F.min(F.struct("live_bytes", "epoch")).alias("v")).select("dev", F.col("v.epoch").alias("epoch"), F.col("v.live_bytes").alias("live_bytes"))
+def victims(regions: DataFrame, least: int = 0) -> DataFrame:
+    """Per device, the region to free by force: an empty frozen one first, else the least live, then the oldest.
+
+    ``least``: leave out regions with fewer live bytes; compaction has nothing to do in empty ones.
+    """
+    return frozen(regions).where((F.col("state") == "FROZEN") & (F.col("live_bytes") >= least)).groupBy("dev").agg(F.min(F.struct("live_bytes", "epoch")).alias("v")).select("dev", F.col("v.epoch").alias("epoch"), F.col("v.live_bytes").alias("live_bytes"))
 
 
 def oldest_generations(regions: DataFrame, now: Column, min_age: int, step: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.running import running_sum
+
 PAGE = 4096
 STRIPE_UNIT = 256 << 10
 STRIPE_THRESHOLD = 1 << 20
@@ -79,10 +81,9 @@ def layer_slice(buffer: Column, offset: Column, length: Column) -> Column:
 
 def with_regions(puts: DataFrame, n_devices: int, region_pages: int) -> DataFrame:
     """A deterministic region: running pages of a device, cut into regions; the exact allocator is ``alloc``."""
-    w = Window.partitionBy("dev").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     sized = puts.withColumn("dev", device(F.col("prefix_id"), n_devices)).withColumn("pages", payload_pages(F.col("payload_len")))
-    start = F.coalesce(F.sum("pages").over(w), F.lit(0))
-    return sized.withColumn("start_page", start).withColumn("epoch", (1 + F.floor(F.col("start_page") / region_pages)).cast("long"))
+    placed = running_sum(sized, ["dev"], F.col("pages"), "start_page", inclusive=False)
+    return placed.withColumn("epoch", (1 + F.floor(F.col("start_page") / region_pages)).cast("long"))
 
 
 def live_bytes(placed: DataFrame, leaf: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import chunk, cuckoo, hashing, layout, metrics
 from palimpsest.operators import alloc, durability, gc, index, oplog, placement, state, tier, tokens
+from palimpsest.operators.running import running_sum
 from palimpsest.sources import workload
 from palimpsest.streaming import streams
 
@@ -371,11 +372,11 @@ def entry_classes(spark, sf_dir):
     return _ops(spark, sf_dir).where("op = 'PUT'").select("seq", tier.size_class(cost).alias("class"), cost.alias("cost"))
 
 
-@query(OPS + "SELECT seq, dev, CAST(sum(pages) OVER (PARTITION BY dev ORDER BY seq ROWS UNBOUNDED PRECEDING) // 16 AS BIGINT) AS flushes, CAST(row_number() OVER (PARTITION BY dev ORDER BY seq) AS INTEGER) AS backlog FROM (SELECT seq, (payload_len + 4095) // 4096 AS pages, CAST(prefix_id % 4 AS INTEGER) AS dev FROM ops WHERE op = 'PUT')")
+@query(OPS + "SELECT seq, dev, CAST(sum(pages) OVER (PARTITION BY dev ORDER BY seq ROWS UNBOUNDED PRECEDING) // 16 AS BIGINT) AS flushes, row_number() OVER (PARTITION BY dev ORDER BY seq) AS backlog FROM (SELECT seq, (payload_len + 4095) // 4096 AS pages, CAST(prefix_id % 4 AS INTEGER) AS dev FROM ops WHERE op = 'PUT')")
 def writer_queue(spark, sf_dir):
-    w = Window.partitionBy("dev").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     p = _ops(spark, sf_dir).where("op = 'PUT'").select("seq", placement.payload_pages(F.col("payload_len")).alias("pages"), placement.device(F.col("prefix_id"), N_DEV).alias("dev"))
-    return p.select("seq", "dev", F.floor(F.sum("pages").over(w) / alloc.WATERMARK_PAGES).alias("flushes"), F.row_number().over(Window.partitionBy("dev").orderBy("seq")).alias("backlog"))
+    both = running_sum(running_sum(p, ["dev"], F.col("pages"), "so_far"), ["dev"], F.lit(1), "backlog")
+    return both.select("seq", "dev", F.floor(F.col("so_far") / alloc.WATERMARK_PAGES).alias("flushes"), "backlog")
 
 
 # Metrics.
@@ -517,11 +518,11 @@ def _located_leaves(spark, sf_dir):
     return state.leaves(_ops(spark, sf_dir)).join(at, "ver")
 
 
-@query(PLACED + """, v AS (SELECT dev, min({'live_bytes': live_bytes, 'epoch': epoch}).epoch AS epoch FROM states WHERE state = 'FROZEN' GROUP BY dev),
+@query(PLACED + """, v AS (SELECT dev, min({'live_bytes': live_bytes, 'epoch': epoch}).epoch AS epoch FROM states WHERE state = 'FROZEN' AND live_bytes >= 1 GROUP BY dev),
 c AS (SELECT f.prefix_id, f.group_idx, f.ver, l.dev, row_number() OVER (PARTITION BY l.dev ORDER BY f.ver) AS rn FROM leaf f JOIN located l ON l.seq = f.ver JOIN v ON v.dev = l.dev AND v.epoch = l.epoch WHERE f.ver % 5 <> 0 AND f.payload_len <= 1048576)
 SELECT prefix_id, group_idx, ver, dev FROM c WHERE rn <= 1024""")
 def compaction_plan(spark, sf_dir):
-    return gc.compaction(_located_leaves(spark, sf_dir), gc.victims(_regions(spark, sf_dir)), F.col("ver") % 5 == 0, 1 << 20).select("prefix_id", "group_idx", "ver", "dev")
+    return gc.compaction(_located_leaves(spark, sf_dir), gc.victims(_regions(spark, sf_dir), 1), F.col("ver") % 5 == 0, 1 << 20).select("prefix_id", "group_idx", "ver", "dev")
 
 
 @query(STATE + """, delta AS (SELECT now_s // 86400 AS tick, CAST(sum(CASE WHEN op = 'PUT' THEN payload_len - CASE WHEN live THEN seen.payload_len ELSE 0 END WHEN op = 'EVICT' AND live THEN -seen.payload_len ELSE 0 END) AS BIGINT) AS d FROM outcomes GROUP BY ALL),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import alloc, durability, gc, index, oplog, placement, sequences, state, tier, tokens
+from palimpsest.operators.running import running_sum
 from palimpsest.plans import views
 from palimpsest.sources.config import Config, geometry_ok, region_pages
 from palimpsest.sources.store import Store, read_config_texts, write_metrics_csv
@@ -33,6 +34,16 @@ def test_stretches_change_nothing(spark, sf_dir, chunk):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_running_sum(spark, inclusive):
+    df = spark.range(50).selectExpr("id * 3 AS seq", "id % 2 AS k", "id AS v")
+    got = running_sum(df, ["k"], F.col("v"), "s", inclusive, stretch=10)
+    rows, total = sorted((r.seq, r.k, r.v, r.s) for r in got.collect()), [0, 0]
+    for _, k, v, s in rows:
+        assert s == total[k] + v * inclusive
+        total[k] += v
+
+
 def test_prefix_zero_has_no_tombstone(spark):
     assert outcomes(log(spark, ("PUT", 0, 0, 0), ("EVICT", 0, 0, 0), ("GET", 0, 0, 0))) == ["OK", "OK", "ENOENT"]
 
