@@ -186,7 +186,9 @@ def links(distinct: DataFrame, r: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that span each group within r."""
     spark = distinct.sparkSession
     n = distinct.count()
-    shards = int(min(MAX_SHARDS, max(1, n // SHARD_ROWS * 2 if n > SHARD_ROWS else 1, min(n // 2000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    # No more rows a shard than SHARD_ROWS, and work for all tasks where there are rows enough; MAX_SHARDS bounds the tree.
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(MAX_SHARDS, max(1, -(-n // SHARD_ROWS), min(n // 2000, tasks)))
     share = min(1.0, SAMPLE / max(1, n))
     kept = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = np.array([x.fp for x in kept.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
