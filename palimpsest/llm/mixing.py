@@ -8,9 +8,9 @@ min(cap, level * weight) for the one level at which the targets add up.
 Take: a source's documents are all taken as often as its target holds its whole
 size; the remaining budget is fitted by a choice of documents.  Documents are
 counted by exact length.  A seeded base share of each length's count is taken
-first, then the largest lengths that fit, down to a gap of at most
-``GAP_LENGTHS`` times the largest length used, and the gap is filled by a
-bounded-knapsack dynamic programme over the counts that are left.  Which
+first, then the largest lengths that fit, down to a gap of about
+``GAP_LENGTHS`` times the largest length (``GAP_WORDS`` at most), and the gap is
+filled by a bounded-knapsack dynamic programme over the counts that are left.  Which
 documents of a length are taken follows from their seeded hash.
 
 A (source, length) with very many rows is cut by hash into buckets of about
@@ -36,6 +36,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20240101
 GAP_LENGTHS = 4
+#: Most words the programme's bit sets are made for.
+GAP_WORDS = 1 << 16
 BUCKET_ROWS = 100_000
 
 
@@ -96,7 +98,7 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     gap = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable").tolist()
     spare = (counts - taken).tolist()
-    keep = GAP_LENGTHS * int(lengths.max())
+    keep = min(GAP_WORDS, GAP_LENGTHS * int(lengths.max()))
     for k in order:  # large lengths first, as long as more than the programme's room is open
         if gap <= keep:
             break
@@ -106,10 +108,20 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         taken[k] += n
         spare[k] -= n
         gap -= n * length
+    if gap > 2 * GAP_WORDS:  # only lengths far apart leave so much: take what fits
+        for k in order:
+            n = min(spare[k], gap // int(lengths[k])) if lengths[k] else 0
+            taken[k] += n
+            spare[k] -= n
+            gap -= n * int(lengths[k])
     open_ = [k for k in range(len(lengths)) if lengths[k] > 0 and spare[k] > 0 and lengths[k] <= gap]
     extra = fill_gap(gap, [int(lengths[k]) for k in open_], [int(spare[k]) for k in open_])
     for k, n in zip(open_, extra):
         taken[k] += n
+    gap = budget - int((lengths * taken).sum())
+    over = [k for k in range(len(lengths)) if taken[k] < counts[k] and 0 < lengths[k] < 2 * gap]
+    if over:  # one document more comes nearer, from above
+        taken[min(over, key=lambda k: abs(int(lengths[k]) - gap))] += 1
     return taken
 
 
