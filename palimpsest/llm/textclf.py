@@ -52,10 +52,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     The sample is bounded by ``limit`` rows; texts of more than ``most_chars``
     characters are not drawn, so that its bytes are bounded too.
     """
-    known = labels.select(F.col("doc_id").alias("__l"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __l is not null").dropDuplicates(["__l"])
-    rows = docs.select("doc_id", "text").where(~held_out & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    joined = rows.join(known, F.col("doc_id") == F.col("__l"))
-    return joined.select("label", "text", F.xxhash64(F.lit(seed), "doc_id").alias("o"), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text")
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out).dropDuplicates(["doc_id"])
+    # Ids are drawn from the narrow labels first: at most ``limit`` of them, so they can be broadcast, and no other text moves.
+    drawn = known.withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("o", "doc_id").limit(limit)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    return rows.join(F.broadcast(drawn), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text")
 
 
 def trained(sample: DataFrame, train):
