@@ -13,11 +13,9 @@ INLINE_EDGES = 8
 HOT_THRESHOLD = 64
 
 
-def nodes(addressed: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Distinct nodes of rows (doc, group_idx, address): address, parent, depth, docs."""
-    up = addressed.select(doc, (F.col("group_idx") + 1).alias("group_idx"), F.col("address").alias("parent"))
-    linked = addressed.join(up, [doc, "group_idx"], "left")
-    return linked.groupBy("address", "parent").agg(F.min(F.col("group_idx") + 1).alias("depth"), F.count(F.lit(1)).alias("docs"))
+def nodes(addressed: DataFrame) -> DataFrame:
+    """Distinct nodes of rows (group_idx, address, parent): address, parent, depth, docs."""
+    return addressed.groupBy("address", "parent").agg(F.min(F.col("group_idx") + 1).alias("depth"), F.count(F.lit(1)).alias("docs"))
 
 
 def nodes_by_depth(node: DataFrame) -> DataFrame:

@@ -109,8 +109,8 @@ def dropped_leaves(ops: DataFrame) -> DataFrame:
 
 def expired_leaves(ops: DataFrame) -> DataFrame:
     """What a sweep at the log's last second drops."""
-    now = ops.agg(F.max("now_s").alias("now"))
-    return leaves(ops).crossJoin(F.broadcast(now)).where(expired(F.col("expire_ts"), F.col("now"))).select(*ADDRESS, "ver", "expire_ts")
+    now = ops.agg(F.max("now_s")).scalar()
+    return leaves(ops).where(expired(F.col("expire_ts"), now)).select(*ADDRESS, "ver", "expire_ts")
 
 
 def sweep(leaf: DataFrame, now: Column, pinned: Column | None = None) -> DataFrame:

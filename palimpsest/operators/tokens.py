@@ -26,12 +26,14 @@ def split_groups(df: DataFrame, tokens: Column, *keep: str, group: int = GROUP)
 
 
 def addresses(df: DataFrame, tokens: Column, *keep: str, group: int = GROUP) -> DataFrame:
-    """One row a group with ``address``: a chained md5 of the group's tokens and the address before it."""
+    """One row a group: keep.., group_idx, n_tokens, its ``address`` (a chained md5 of its tokens and the address before it) and ``parent`` (that address, null for the first)."""
     cut = df.select(*keep, tokens.alias("tokens")).withColumn("groups", F.transform(F.sequence(F.lit(0), ((F.size("tokens") - 1) / group).cast("int")), lambda i: F.slice("tokens", i * group + 1, group)))
     # The fold keeps the chain as an array whose last element is the hash so far.
     chain = F.aggregate("groups", F.array(F.lit("")), lambda acc, g: F.concat(acc, F.array(F.md5(F.concat(F.element_at(acc, -1), F.lit("|"), F.array_join(g, " ")).cast("binary")))))
-    return cut.select(*keep, "groups", F.slice(chain, 2, F.size("groups")).alias("chain")).select(*keep, F.posexplode(F.arrays_zip("groups", "chain")).alias("group_idx", "g")).select(
-        *keep, "group_idx", F.size("g.groups").alias("n_tokens"), F.col("g.chain").alias("address"))
+    chained = cut.select(*keep, F.transform("groups", lambda g: F.size(g)).alias("sizes"), chain.alias("chain"))
+    zipped = F.arrays_zip("sizes", F.slice("chain", 2, F.size("sizes")).alias("address"), F.slice("chain", 1, F.size("sizes")).alias("parent"))
+    rows = chained.select(*keep, F.posexplode(zipped).alias("group_idx", "g"))
+    return rows.select(*keep, "group_idx", F.col("g.sizes").alias("n_tokens"), F.col("g.address").alias("address"), F.nullif(F.col("g.parent"), F.lit("")).alias("parent"))
 
 
 def shared_addresses(addressed: DataFrame, doc: str = "doc_id") -> DataFrame:

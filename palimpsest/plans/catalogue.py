@@ -55,7 +55,7 @@ def _regions(spark, sf_dir):
 
 
 def _now(spark, sf_dir):
-    return _ops(spark, sf_dir).agg(F.max("now_s").alias("now"))
+    return _ops(spark, sf_dir).agg(F.max("now_s")).scalar()
 
 
 # Point operations over the log.
@@ -109,8 +109,7 @@ def expired_at(spark, sf_dir):
 
 @query(STATE + "SELECT prefix_id, group_idx, ver FROM leaf WHERE NOT (expire_ts <> 0 AND expire_ts < (SELECT max(now_s) FROM ops) AND ver % 7 <> 0)")
 def ttl_sweep(spark, sf_dir):
-    leaf = state.leaves(_ops(spark, sf_dir)).crossJoin(F.broadcast(_now(spark, sf_dir)))
-    return state.sweep(leaf, F.col("now"), F.col("ver") % 7 == 0).select(*oplog.ADDRESS, "ver")
+    return state.sweep(state.leaves(_ops(spark, sf_dir)), _now(spark, sf_dir), F.col("ver") % 7 == 0).select(*oplog.ADDRESS, "ver")
 
 
 def _pins(spark, sf_dir):
@@ -487,14 +486,12 @@ def region_victim(spark, sf_dir):
 
 @query(PLACED + ", o AS (SELECT * FROM states WHERE state = 'FROZEN' AND (SELECT max(now_s) FROM ops) - close_s >= 3600) SELECT dev, epoch, live_bytes FROM o WHERE epoch IN (SELECT DISTINCT epoch FROM o ORDER BY epoch LIMIT 2)")
 def generation_drop(spark, sf_dir):
-    r = _regions(spark, sf_dir).crossJoin(F.broadcast(_now(spark, sf_dir)))
-    return gc.oldest_generations(r, F.col("now"), 3600, 2).select("dev", "epoch", "live_bytes")
+    return gc.oldest_generations(_regions(spark, sf_dir), _now(spark, sf_dir), 3600, 2).select("dev", "epoch", "live_bytes")
 
 
 @query(PLACED + "SELECT dev, epoch FROM states WHERE state = 'FROZEN' AND live_bytes <= 16 * 4096 * 100 AND live_bytes = 0 AND (SELECT max(now_s) FROM ops) > base_s + 1800")
 def epoch_trim(spark, sf_dir):
-    r = _regions(spark, sf_dir).crossJoin(F.broadcast(_now(spark, sf_dir)))
-    return gc.epoch_trim(r, F.col("now"), 1800).select("dev", "epoch")
+    return gc.epoch_trim(_regions(spark, sf_dir), _now(spark, sf_dir), 1800).select("dev", "epoch")
 
 
 @query(PLACED + "SELECT count(DISTINCT {'d': dev, 'e': epoch % 64}) AS generations, count(*) AS regions FROM states")
