@@ -41,9 +41,9 @@ from palimpsest.llm.suffix_sort import SEPARATOR, SuffixSorter
 
 LENGTH = 200
 GRAM = 40
-BUFFER_BYTES = 1 << 20
+BUFFER_BYTES = 1 << 18
 BLOOM_BITS = 26
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 HOT_SEGMENTS = 4096
 
 # Odd bases of the rolling hashes, and finishing multipliers.
@@ -177,19 +177,19 @@ def _bloom(recurring: DataFrame) -> np.ndarray:
     table = words.toArrow()
     out = np.zeros(1 << (BLOOM_BITS - 5), dtype=np.uint32)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
 
 
 def _anchors(keyed: DataFrame, recurring: DataFrame, length: int) -> DataFrame:
-    bits = keyed.sparkSession.sparkContext.broadcast(np.packbits(_bloom(recurring)))
+    bits = keyed.sparkSession.sparkContext.broadcast(_bloom(recurring))
 
     def run(batches):
-        rolling, known = Rolling(), np.unpackbits(bits.value).astype(bool)
+        rolling, known = Rolling(), bits.value
         for b in batches:
             for start, texts in _buffers(b.column(2).to_pylist()):
                 doc, first, count, h, seg = segments_of(texts, rolling, length)
                 one, two = _bloom_words(h)
-                keep = known[one] & known[two]
+                keep = (known[one >> 3] >> (one & 7)) & (known[two >> 3] >> (two & 7)) & 1 > 0
                 at = pa.array(doc[keep] + start)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(at), b.column(1).take(at), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)),

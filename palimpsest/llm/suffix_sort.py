@@ -97,11 +97,11 @@ class SuffixSorter:
         self.words = np.ndarray(shape=(n + depth + 8,), dtype="<u8", buffer=padded.data, strides=(1,))
         ends = np.flatnonzero(text == SEPARATOR)
         self.ends = ends
-        self.left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # bytes before the separator
+        self.left = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)  # bytes before the separator
         step = np.zeros(n, dtype=np.int8)
         step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
         step[ends] = 1
-        at = np.where(step != 0, np.arange(n), n)
+        at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
         at = np.minimum.accumulate(at[::-1])[::-1]
         self.s_type = step[np.minimum(at, n - 1)] > 0
         self.shared = np.zeros(n, dtype=bool)
