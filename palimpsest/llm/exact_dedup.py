@@ -45,36 +45,39 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = base.select("*", F.sha2(F.col("__norm").cast("binary"), 256).alias("__sha"))
 
     sizes = keyed.groupBy("__sha").agg(F.count(F.lit(1)).alias("__n"))
-    total = docs.agg(F.count(F.lit(1)).alias("__all"))
-    hot = sizes.crossJoin(F.broadcast(total)).where(F.col("__n") * HOT_PARTS > F.col("__all")).select(
-        "__sha", F.greatest(F.lit(1), F.ceil(F.col("__n") * HOT_PARTS / F.col("__all"))).alias("__parts"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    hot = sizes.where(F.col("__n") * HOT_PARTS > total).select("__sha", F.greatest(F.lit(1), F.ceil(F.col("__n") * HOT_PARTS / total)).alias("__parts"))
     # At most HOT_PARTS rows; ids, not row numbers, give the salt, so a retried task deals alike.
     salt = F.pmod(F.xxhash64("__id"), F.coalesce(F.col("__parts"), F.lit(1)))
-    dealt = (
-        keyed.join(F.broadcast(hot), "__sha", "left")
-        .withColumn("__salt", salt)
-        .withColumn("__hot", F.col("__parts").isNotNull())
-        .withColumn("__lead", F.substring("__norm", 1, LEAD))
-        .drop("__parts")
-        .repartitionByRange("__lead", "__sha", "__salt")
-    )
     part = Window.partitionBy("__lead", "__sha", "__salt", "__norm")
     ordered = part.orderBy(F.col("__id").asc_nulls_last())
-    runs = dealt.select(
-        "__id", "__sha", "__salt", "__hot", "__lead", "__row",
-        F.row_number().over(ordered).alias("__rank"),
-        F.min("__id").over(part).alias("__keep"),
-        F.count(F.lit(1)).over(part).alias("__size"),
-        F.when(F.col("__hot"), F.col("__norm")).alias("__text"),
-    )
-    # Heads of hot parts: fewer than 2 * HOT_PARTS rows, compared whole again.
-    heads = runs.where("__hot AND __rank = 1").groupBy("__sha", "__text").agg(
+
+    def runs(how: str, *carried: str) -> DataFrame:
+        """Rows beside their equals: rank, smallest id and size within their (salted) part."""
+        dealt = (
+            keyed.join(F.broadcast(hot), "__sha", how)
+            .withColumn("__salt", salt)
+            .withColumn("__hot", F.col("__parts").isNotNull())
+            .withColumn("__lead", F.substring("__norm", 1, LEAD))
+            .select("__id", "__norm", "__sha", "__salt", "__hot", "__lead", *carried)
+            .repartitionByRange("__lead", "__sha", "__salt")
+        )
+        return dealt.select(
+            "__id", "__sha", "__salt", "__hot", "__lead", *carried,
+            F.row_number().over(ordered).alias("__rank"),
+            F.min("__id").over(part).alias("__keep"),
+            F.count(F.lit(1)).over(part).alias("__size"),
+            F.when(F.col("__hot"), F.col("__norm")).alias("__text"),
+        )
+
+    # Heads of hot parts: fewer than 2 * HOT_PARTS rows, compared whole again. Only hot rows move for them.
+    heads = runs("inner").where("__rank = 1").groupBy("__sha", "__text").agg(
         F.min("__keep").alias("__keep_all"), F.sum("__size").alias("__size_all"),
         F.min(F.struct(F.col("__keep").isNull().alias("none"), F.col("__keep").alias("id"), F.col("__salt").alias("salt"))).alias("__first"))
     merged = heads.select(
         "__sha", F.sha2(F.concat(F.lit("\x01"), F.col("__text")).cast("binary"), 256).alias("__tag"),
         "__keep_all", "__size_all", F.col("__first.salt").alias("__first_salt"))
-    tagged = runs.withColumn("__tag", F.sha2(F.concat(F.lit("\x01"), F.col("__text")).cast("binary"), 256)).drop("__text")
+    tagged = runs("left", "__row").withColumn("__tag", F.sha2(F.concat(F.lit("\x01"), F.col("__text")).cast("binary"), 256)).drop("__text")
     joined = tagged.join(F.broadcast(merged), ["__sha", "__tag"], "left")
     kept = (F.col("__rank") == 1) & F.coalesce(F.col("__salt") == F.col("__first_salt"), F.lit(True))
     out = joined.select(
