@@ -9,9 +9,9 @@ recursion), and a document's is the product over its words and one end.  Pieces
 never cross white space, so each distinct word is worked out once.
 
 Words are counted over all documents and kept as a table in the shared folder.
-Only its ``TOP_WORDS`` most frequent words are broadcast; the other words of a
-document are joined with the table.  The most frequent ones being out, no join
-key has more than 1/``TOP_WORDS`` of all words.
+Only its most frequent words, at most ``TOP_WORDS``, are broadcast; the other
+words of a document are joined with the table.  The frequent ones being out, no
+join key has more than about 1/``TOP_WORDS`` of all words.
 
 Defined cases: a null or empty text has the end only; rows repeated in ``docs``
 are scored each; a byte of no piece is a piece of its own, so every text has a
@@ -215,6 +215,19 @@ def word_table(rows: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """The count from which on there are at most ``most`` words; from counts of log-spaced buckets, a few hundred rows."""
+    edge = F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)).cast("long")  # least count of the bucket, or one close to it
+    sizes = sorted(((r.least, r.k) for r in words.groupBy(edge.alias("e")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).select("least", "k").collect()), reverse=True)
+    total, least = 0, (sizes[0][0] + 1 if sizes else 1)
+    for at, k in sizes:
+        total += k
+        if total > most:
+            break
+        least = at
+    return least
+
+
 def fit(words: DataFrame, n_docs: int, pieces: list[bytes], prior: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """(piece probabilities, end probability) after ``rounds`` of expectation and maximisation over the word table."""
     spark, p, end = words.sparkSession, prior, 1.0 / (PRIOR + 1.0)
@@ -256,7 +269,7 @@ def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, top_words: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(model.value.log_probabilities(b.column(0).to_pylist()) / np.log(10))], names=["word", "n", "c", "lattice"])
 
     weighed = written(table.select("word", "n", "n_train").mapInArrow(weigh, "word binary, n long, c long, lattice double"), "word-scores")
-    top = weighed.orderBy(F.desc("n"), "word").limit(top_words).select("word", "c", "lattice").toArrow()  # bounded by top_words
+    top = weighed.where(F.col("n") >= _least_count(weighed, top_words)).select("word", "c", "lattice").toArrow()  # at most top_words
     counts = top.column("c").to_numpy()
     shared = spark.sparkContext.broadcast((top.column("word").combine_chunks(), np.log10(counts + 1.0), counts > 0, top.column("lattice").to_numpy()))
     floor = float(np.log10(n_train + (v + 1.0)))
