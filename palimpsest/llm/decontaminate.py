@@ -156,37 +156,72 @@ class Index:
         seen = np.unique(self.owner[rows] * width + self.place[rows])
         owner, matched = np.unique(seen // width, return_counts=True)
         good = matched >= COVERAGE * self.windows[owner]
-        return [m for k, n in zip(owner[good].tolist(), matched[good].tolist()) if (m := self._aligned(k, n, codes, kind, both, seen[seen // width == k] % width))]
+        return [m for k, n in zip(owner[good].tolist(), matched[good].tolist()) if (m := self._aligned(k, n, codes, both))]
 
-    def _aligned(self, k, matched, codes, kind, both, places):
-        item_id, item_codes, item_kind = self.items[k]
-        wanted = {}
+    def _aligned(self, k, matched, codes, both):
+        item_id, item_codes, _ = self.items[k]
+        n, runs = int(self.windows[k]), []
+        votes = np.zeros(n + len(both[0]), dtype=np.int64)  # at shift + n; a shift is a document's position less the item's place
         for h, mine in zip(both, (self._template(k), window_hashes(item_codes))):
             at = np.flatnonzero(np.isin(h, mine))
-            order = np.argsort(mine, kind="stable")
-            low, high = np.searchsorted(mine[order], h[at], "left"), np.searchsorted(mine[order], h[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-                for place in order[a:b].tolist()[:8]:
-                    wanted.setdefault(place, set()).add(p)
-        votes: dict[int, int] = {}
-        for place, ps in wanted.items():
-            for p in ps:
-                votes[p - place] = votes.get(p - place, 0) + 1
-        shift = max(votes, key=lambda d: (votes[d], -d))
-        pairs, windows = {}, []
-        for place, ps in wanted.items():
-            p = min(ps, key=lambda q: (abs(q - place - shift), q))
-            slots = [(int(item_kind[place + j]), int(item_codes[place + j]), int(codes[p + j])) for j in range(WINDOW) if item_kind[place + j]]
-            windows.append(slots)
-            for kind_, a, b in slots:
-                seen = pairs.setdefault((kind_, a), {})
-                seen[b] = seen.get(b, 0) + 1
-        chosen = {key: max(seen, key=lambda b: (seen[b], b == key[1], -b)) for key, seen in pairs.items()}
-        consistent = sum(all(chosen[kind_, a] == b for kind_, a, b in slots) for slots in windows)
-        if consistent < COVERAGE * self.windows[k]:
+            at = at[np.argsort(h[at], kind="stable")]
+            low, high = (np.searchsorted(h[at], mine, side).tolist() for side in ("left", "right"))
+            runs.append((at, low, high))
+            for place in range(n):
+                votes[at[low[place]:high[place]] + (n - place)] += 1
+        shift = int(votes.argmax()) - n
+        consistent, exact = (int(x[0]) for x in self._consistent(k, codes, both[1], runs, np.array([shift])))
+        if consistent < COVERAGE * n:
             return None
-        exact = all(a == b for (_, a), b in chosen.items())
-        return item_id, int(self.windows[k]), int(matched), consistent, exact, max(0, shift)
+        return item_id, n, int(matched), consistent, bool(exact), max(0, shift)
+
+    def _consistent(self, k, codes, plain, runs, shifts):
+        """(windows consistent, whether all slots keep their values) of item k at each of the shifts.
+
+        A place stands at the position of its window that is nearest to the
+        shift; where two are as near, at the plain window's, then the first.  A
+        position with other values stands for one place, the nearest.
+        """
+        _, item_codes, item_kind = self.items[k]
+        places, at = [], []
+        for place in range(int(self.windows[k])):
+            aim, best = shifts + place, None
+            for where, low, high in reversed(runs):  # plain windows first
+                if high[place] > low[place]:
+                    run = where[low[place]:high[place]]
+                    j = np.searchsorted(run, aim)
+                    before, after = run[np.maximum(j - 1, 0)], run[np.minimum(j, len(run) - 1)]
+                    p = np.where(abs(aim - before) <= abs(aim - after), before, after)
+                    best = p if best is None else np.where(abs(aim - p) < abs(aim - best), p, best)
+            if best is not None:
+                places.append(place)
+                at.append(best)
+        places, at = np.array(places), np.stack(at, axis=1)
+        window, step = np.nonzero(item_kind[places[:, None] + np.arange(WINDOW)])
+        verbatim = plain[at] == window_hashes(item_codes)[places]
+        line = (at + np.arange(len(shifts))[:, None] * (len(plain) + 1)).ravel()
+        order = np.lexsort((abs(at - places - shifts[:, None]).ravel(), ~verbatim.ravel(), line))
+        counts = verbatim.ravel()
+        counts[order[np.concatenate(([True], line[order][1:] != line[order][:-1]))]] = True
+        counts = counts.reshape(at.shape)
+        if not len(window):
+            return counts.sum(1), np.ones(len(shifts), dtype=bool)
+        token = places[window] + step
+        keys, key = np.unique(np.stack((item_kind[token], item_codes[token])), axis=1, return_inverse=True)
+        value = codes[at[:, window] + step]
+        # Per shift and value of the item: the most frequent value of the document, the same value first, then the smallest.
+        group = (np.arange(len(shifts))[:, None] * keys.shape[1] + key.reshape(-1)).ravel()
+        order = np.lexsort((value.ravel(), group))
+        g, v = group[order], value.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]))))
+        count, g, v = np.add.reduceat(counts[:, window].ravel()[order].astype(np.int64), first), g[first], v[first]
+        same = v == keys[1][g % keys.shape[1]]
+        order = np.lexsort((v, ~same, -count, g))
+        heads = order[np.concatenate(([True], g[order][1:] != g[order][:-1]))]
+        chosen, same = v[heads].reshape(len(shifts), -1), same[heads].reshape(len(shifts), -1)
+        s, e = np.nonzero(value != chosen[:, key.reshape(-1)])
+        counts[s, window[e]] = False
+        return counts.sum(1), same.all(1)
 
     def _template(self, k):
         _, codes, kind = self.items[k]

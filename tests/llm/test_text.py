@@ -105,6 +105,15 @@ def test_templates():
     assert found(index, "Yesterday Anna bought something else") == [] and found(index, None) == [] and found(index, "too short!") == [(1, True)]
 
 
+def test_windows_that_recur_in_an_item():
+    listed = lambda numbers: "what comes next in the list " + " ".join(map(str, numbers))
+    index = index_of(listed(range(100, 140)), "word " * 30)
+    assert found(index, listed(range(500, 540))) == [(0, False)]
+    assert found(index, "so. " + listed(range(100, 140))) == [(0, True)]
+    assert found(index, "start " + "word " * 30) == [(1, True)]
+    assert found(index, listed([5] * 6)) == [] and found(index, "word " * 4) == []
+
+
 def brute_coverage(item, text):
     """Share of the item's windows of five plain tokens that the text has."""
     words = lambda t: re.findall(r"\d+(?:[.,]\d+)*|[^\W\d]+", (t or "").lower())
