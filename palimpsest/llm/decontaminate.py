@@ -6,9 +6,11 @@ sentence) are typed placeholders.  Windows of ``WINDOW`` template tokens, and of
 the plain tokens (so that a change of case or of a sentence's start loses
 nothing), are looked up in a hash table of the benchmark's windows.  Where at
 least ``COVERAGE`` of an item's windows occur in a document, the slots are
-compared: along the alignment, each value of the item must stand for one value
-of the document, and windows that break this do not count.  So questions with
-other numbers or names, used consistently, are caught.
+compared: along an alignment, each value of the item must stand for one value
+of the document, and windows that break this do not count.  Alignments are tried
+from the one with the most windows until one is consistent, so an item is also
+found beside other instances of its template.  So questions with other numbers
+or names, used consistently, are caught.
 
 The benchmark is the stated query set: its windows are broadcast in blocks of
 items with at most ``BLOCK_WINDOWS`` windows each, one pass over the documents
@@ -169,11 +171,19 @@ class Index:
             runs.append((at, low, high))
             for place in range(n):
                 votes[at[low[place]:high[place]] + (n - place)] += 1
-        shift = int(votes.argmax()) - n
-        consistent, exact = (int(x[0]) for x in self._consistent(k, codes, both[1], runs, np.array([shift])))
-        if consistent < COVERAGE * n:
-            return None
-        return item_id, n, int(matched), consistent, bool(exact), max(0, shift)
+        # Most votes first, a plain window having two; ties go to the earliest.  Most items are settled by the first shift.
+        voted = np.flatnonzero(votes)
+        voted = voted[np.argsort(-votes[voted], kind="stable")] - n
+        start, size = 0, 1
+        while start < len(voted):
+            shifts = voted[start:start + size]
+            consistent, exact = self._consistent(k, codes, both[1], runs, shifts)
+            enough = np.flatnonzero(consistent >= COVERAGE * n)
+            if len(enough):
+                j = enough[0]
+                return item_id, n, int(matched), int(consistent[j]), bool(exact[j]), max(0, int(shifts[j]))
+            start, size = start + size, min(2 * size, max(1, BLOCK_WINDOWS // (WINDOW * n)))
+        return None
 
     def _consistent(self, k, codes, plain, runs, shifts):
         """(windows consistent, whether all slots keep their values) of item k at each of the shifts.

@@ -114,6 +114,16 @@ def test_windows_that_recur_in_an_item():
     assert found(index, listed([5] * 6)) == [] and found(index, "word " * 4) == []
 
 
+def test_item_beside_other_instances_of_its_template():
+    say = "tom has {} apples and buys {} pears at the old market today. ".format
+    index = index_of(say(3, 3))
+    assert found(index, say(4, 5)) == []
+    assert found(index, say(4, 5) + say(3, 3)) == [(0, True)] == found(index, say(3, 3) + say(4, 5))
+    assert found(index, "".join(say(k, k + 1) for k in range(10, 40)) + say(7, 7)) == [(0, False)]
+    assert found(index, say(7, 7) + say(3, 3)) == [(0, True)]
+    assert found(index, "".join(say(k, k + 1) for k in range(10, 40))) == []
+
+
 def brute_coverage(item, text):
     """Share of the item's windows of five plain tokens that the text has."""
     words = lambda t: re.findall(r"\d+(?:[.,]\d+)*|[^\W\d]+", (t or "").lower())
