@@ -4,8 +4,11 @@ Inputs of a whole text: the shares of its hashed byte trigrams, lower-cased and
 with all that is no letter as space.  First, linear scores, one a family, pick
 the family; within it, one linear support vector machine for each pair of its
 languages votes.  Scores are sums over trigrams, so a text is read once, in any
-length.  Training takes at most ``TRAIN_ROWS`` rows a language; the model has
-2**BITS rows and a column for each family and each pair inside one.
+length.  Training takes about ``TRAIN_ROWS`` rows of every language, fewer where
+those of all were more than ``ALL_ROWS``, and a stretch of a long text; the model
+has 2**BITS rows and a column for each family and each pair inside one.  A family
+of more than ``FAMILY_SIZE`` languages is cut into even ones, so that the columns
+grow in proportion to the languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows with null lang are not learnt from; a language of no listed family is one
@@ -30,8 +33,10 @@ from palimpsest.llm.textclf import in_pieces, sigmoid, trained
 BITS = 12
 TRAIN_ROWS = 1200
 ROUNDS = 150
-#: Languages that may be told apart, the most frequent ones first; bounds the model.
-MAX_LANGUAGES = 64
+#: Rows of all languages together, as long as LEAST_ROWS a language fit in; languages of one family.
+ALL_ROWS = 64 * TRAIN_ROWS
+LEAST_ROWS = 100
+FAMILY_SIZE = 64
 
 #: Families of languages.
 FAMILIES = {
@@ -90,6 +95,11 @@ def train(rows: list) -> dict:
     """Model from rows (lang, text)."""
     langs = sorted({r[0] for r in rows})
     family_of = {lang: _FAMILY.get(lang, "other") for lang in langs}
+    for family in sorted(set(family_of.values())):
+        members = [lang for lang in langs if family_of[lang] == family]
+        parts = -(-len(members) // FAMILY_SIZE)
+        if parts > 1:
+            family_of |= {lang: f"{family} {k * parts // len(members)}" for k, lang in enumerate(members)}
     families = sorted(set(family_of.values()))
     columns, biases, pairs = [], [], []
     if langs:
@@ -147,12 +157,16 @@ def predict(texts: list, model: dict) -> tuple[list, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, held_out, limit: int = TRAIN_ROWS, most_chars: int = 20_000) -> DataFrame:
-    """About ``limit`` rows (lang, text) of each of at most MAX_LANGUAGES languages, in seeded order.
+    """About ``limit`` rows (lang, text) of each language, fewer beyond ALL_ROWS, in seeded order.
 
     A hash threshold a language draws its rows; the bound on all rows is exact.
+    Of a text of more than ``most_chars`` characters a stretch drawn by hash is taken.
     """
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("lang", "text", F.xxhash64(F.lit(9), "doc_id", "text").alias("o"))
-    sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    size = F.length("text")
+    start = F.when(size > most_chars, F.pmod(F.xxhash64(F.lit(10), "doc_id"), size - most_chars + 1)).otherwise(0).cast("int") + 1
+    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").substr(start, F.lit(most_chars)).alias("text"), F.xxhash64(F.lit(9), "doc_id", "text").alias("o"))
+    sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    limit = min(limit, max(LEAST_ROWS, ALL_ROWS // max(1, len(sizes))))
     if not sizes:
         return rows.select("lang", "text").limit(0)
     share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, limit / n)))])

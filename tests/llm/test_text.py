@@ -89,6 +89,19 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language.identify(unknown).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(70):
+        words = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)]
+        for j in range(8):
+            rows.append((10 * k + j, " ".join(rng.choice(words, 5000 if k == 69 else 60)), f"x{k:02}"))  # the last one has long texts only
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {r[0]: r[2] for r in rows}
+    got = language.identify(docs).collect()
+    right = [r.doc_id for r in got if r.lang_pred == truth[r.doc_id]]
+    assert len({r.lang_pred for r in got}) == 70 and len(right) > 0.9 * len(rows) and sum(i >= 690 for i in right) == 8
+
+
 def index_of(*items):
     return decontaminate.Index(list(enumerate(items)))
 
