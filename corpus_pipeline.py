@@ -1,11 +1,11 @@
-"""Corpus pipeline: toxicity, exact dedup, SimHash near-dedup, decontamination, mixing.
+"""Corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  ``run`` writes each stage's result in the
 shared folder and hands it on.  No stage's rows can be written as SQL.
 """
 
-from palimpsest.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
+from palimpsest.llm import decontaminate, exact_dedup, mixing, similar, toxicity
 from palimpsest.llm.common import written
 
 
@@ -20,8 +20,8 @@ def exact_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of each group of linked fingerprints, the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group linked by five-word similarity of 0.8, the document with the smallest doc_id stays."""
+    return similar.drop_similar(docs)
 
 
 def decontamination_stage(spark, docs, sf_dir):

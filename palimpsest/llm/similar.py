@@ -1,0 +1,121 @@
+"""Near-dedup by the Jaccard similarity of word shingles, for the pipeline.
+
+Pairs are proposed by MinHash (``BANDS`` bands of ``BAND_ROWS`` values; a pair of
+similarity 0.8 is missed with probability 3e-6, a more similar one with less).
+Documents that share a band, directly or over others, are brought together, and
+in such a set every pair is checked exactly on its whole shingle sets; the links
+that hold make the groups.
+
+Defined cases: a null or empty text has one shingle, the empty one; fewer words
+than a shingle: one shingle of all words; of rows that share the smallest id one
+stays, and a null id comes last.  Other columns are carried, whatever their names.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import written
+from palimpsest.llm.components import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 24, 4
+_RNG = np.random.default_rng(5)
+_XOR = _RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64)[:, None]
+_ODD = (_RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) | np.uint64(1))[:, None]
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+class Words(dict):
+    """Word to its hash; bounded."""
+
+    limit = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word, 21)
+        return code
+
+
+def shingles(text: bytes | None, cache: Words) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of one text."""
+    words = text.lower().split() if text else []
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 22)], dtype=np.uint64)
+    codes = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = len(codes) - SHINGLE + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(SHINGLE):
+        out += codes[j:j + n] * _MIX[j]
+        out ^= out >> np.uint64(29)
+    return np.unique(out * _MIX[0])
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key of each band."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(hashes), 4096):  # bounded for very long texts
+        least = np.minimum(least, ((hashes[None, k:k + 4096] ^ _XOR) * _ODD).min(1))
+    out = np.arange(BANDS, dtype=np.uint64) * _MIX[4]
+    for j in range(BAND_ROWS):
+        out = (out ^ least[j::BAND_ROWS]) * _MIX[j]
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
+def groups_of(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one of its group, by the pairs of at least SIMILARITY."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner, head = flat[order], owner[order], np.arange(len(sets))
+    for i, mine in enumerate(sets):
+        low, count = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        count -= low
+        shared, ends = np.zeros(len(sets), dtype=np.int64), np.cumsum(count)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 22), "right"), len(mine)))
+        for a, b in zip(cuts, cuts[1:]):  # bounded stretches of the postings
+            c = count[a:b]
+            at = np.repeat(low[a:b] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            shared += np.bincount(owner[at], minlength=len(sets))
+        alike = np.flatnonzero(shared >= SIMILARITY * (sizes + sizes[i] - shared) - 1e-9)
+        mine_and_theirs = np.unique(head[alike])
+        if len(mine_and_theirs) > 1:
+            head[np.isin(head, mine_and_theirs)] = mine_and_theirs[0]
+    return head
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those linked to one with a smaller id."""
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "near-input")
+    the_id, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+
+    def keys(batches):
+        cache = Words()
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            if texts:
+                found = np.concatenate([bands(shingles(t, cache)) for t in texts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(found)], names=["at", "key"])
+
+    banded = written(rows.select("at", text.alias("text")).mapInArrow(keys, "at long, key long"), "bands")
+    first = banded.groupBy("key").agg(F.min("at").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    links = written(banded.join(first, "key").where("at != a").select("a", F.col("at").alias("b")).distinct(), "candidates")
+    roots = written(components(links), "candidate-sets")
+    members = roots.where("node != root").select(F.col("node").alias("at"), F.col("root").alias("set"))
+    members = members.union(members.select(F.col("set").alias("at"), "set").distinct())
+
+    def check(table: pa.Table) -> pa.Table:
+        table, cache = table.sort_by([("none", "ascending"), ("id", "ascending"), ("at", "ascending")]), Words()
+        head = groups_of([shingles(t.as_py(), cache) for c in table.column("text").chunks for t in c])
+        return table.select(["at"]).filter(pa.array(head != np.arange(len(head))))
+
+    known = rows.select("at", the_id.isNull().alias("none"), the_id.alias("id"), text.cast("binary").alias("text"))
+    gone = written(members.join(known, "at").groupBy("set").applyInArrow(check, "at long"), "near-copies")
+    return rows.join(gone, "at", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, simhash, suffix_dedup
+import corpus_pipeline
+from palimpsest.llm import exact_dedup, similar, simhash, suffix_dedup
 from palimpsest.llm.components import components
 from palimpsest.llm.suffix_sort import SuffixSorter
 from tests.llm.data import ROWS, documents, empty
@@ -145,3 +146,39 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[k] == 1 for k in range(2, 41)) and all(got[k] == 100 for k in range(101, 160))
+
+
+def word_sets(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def brute_heads(rows):
+    sets, head = [word_sets(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and head[i] != head[j]:
+                a, b = sorted((head[i], head[j]))
+                head = [a if h == b else h for h in head]
+    return {rows[h][0] for h in head}
+
+
+def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
+    rng, rows = np.random.default_rng(8), []
+    for k in range(12):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 120)]
+        rows.append((100 * k, " ".join(words)))
+        for j in range(1, 8):
+            words = list(words)
+            words[int(rng.integers(5, 110))] = f"new{j}"
+            if j > 4:
+                words[int(rng.integers(5, 110))] = f"other{j}"
+            rows.append((100 * k + j, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_heads(rows)
+    assert 12 <= len(want) < 40
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, None).collect()) == sorted(want)
+    kept = stage(spark, documents(spark), None)
+    assert kept.columns == documents(spark).columns
+    assert kept.count() == len(brute_heads([(k, r[1]) for k, r in enumerate(ROWS)])) and stage(spark, empty(spark), None).count() == 0
