@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,27 +13,58 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space of the word and text contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_local_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; set to a temporary folder only where
-    that is unset, as in local tests.
+    Only where that is unset and all runs in one process (master ``local``, as in
+    tests) it is a temporary folder, gone with the process; a cluster without
+    the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _local_folders:
+        folder = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_folders[context.applicationId] = "file://" + folder
+    return _local_folders[context.applicationId]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that no later step reads."""
+    for df in tables:
+        _remove(df.sparkSession, df.written_at)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Removes every table this application has written, when its results have been read."""
+    _remove(spark, f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}")
 
 
 def remainder_of_crc(doc_id: Column, modulus: int) -> Column:

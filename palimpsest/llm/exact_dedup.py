@@ -1,9 +1,11 @@
 """Exact dedup by content sort, with DataFrame functions only.
 
-Rows are range-partitioned on a bounded key of the normalised bytes (their
-first bytes, then their SHA-256), using Spark's sampled splitters; an external
-sort places equal texts side by side, and whole normalised texts are compared
-there.  Of equals, the smallest id stays.
+Rows are written once with the SHA-256 of their normalised text, so that no
+later pass works it out again.  They are range-partitioned on a bounded key of
+the normalised text (its first characters, then the digest), using Spark's
+sampled splitters.  Inside a range an external sort on that key, then the whole
+normalised text, places equal texts side by side; each text is compared in full
+with the one before it, and a run of equals keeps its smallest id.
 
 A text that makes up more than 1/``HOT_PARTS`` of all rows would be one range
 that cannot be split.  There are fewer than ``HOT_PARTS`` such texts, so their
@@ -13,9 +15,9 @@ parts.
 
 Defined cases: a null text counts as empty; rows with equal texts and equal ids
 keep exactly one row; a null id sorts after all others, so it is kept only if
-its group has no other id; an empty table gives an empty result.  Columns
-beyond ``doc_id`` and ``text`` are carried along unchanged, whatever their
-names.
+its group has no other id; an empty table gives an empty result.  Very long
+texts are compared whole.  Columns beyond ``doc_id`` and ``text`` are carried
+along unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import written
+
 #: A text with more than this part of all rows is salted: at most HOT_PARTS texts.
 HOT_PARTS = 1000
 #: Characters of the normalised text that lead the range key.
@@ -41,16 +45,21 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     norm = normalised(F.col(f"`{text_col}`"))
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]) if keep_rows else F.lit(0)
+    # A carried row holds its own text; the normalised one is then made again behind the shuffle, and not sent twice.
     base = docs.select(F.col(f"`{id_col}`").alias("__id"), norm.alias("__norm"), row.alias("__row"))
-    keyed = base.select("*", F.sha2(F.col("__norm").cast("binary"), 256).alias("__sha"))
+    keyed = written(base.select(
+        "__id", "__row", F.monotonically_increasing_id().alias("__at"), F.when(F.lit(not keep_rows), F.col("__norm")).alias("__norm"),
+        F.substring("__norm", 1, LEAD).alias("__lead"), F.sha2(F.col("__norm").cast("binary"), 256).alias("__sha")), "digests")
+    whole = normalised(F.col("__row").getField(text_col)) if keep_rows else F.col("__norm")
 
     sizes = keyed.groupBy("__sha").agg(F.count(F.lit(1)).alias("__n"))
-    total = docs.agg(F.count(F.lit(1))).scalar()
+    total = keyed.agg(F.count(F.lit(1))).scalar()
     hot = sizes.where(F.col("__n") * HOT_PARTS > total).select("__sha", F.greatest(F.lit(1), F.ceil(F.col("__n") * HOT_PARTS / total)).alias("__parts"))
-    # At most HOT_PARTS rows; ids, not row numbers, give the salt, so a retried task deals alike.
-    salt = F.pmod(F.xxhash64("__id"), F.coalesce(F.col("__parts"), F.lit(1)))
-    part = Window.partitionBy("__lead", "__sha", "__salt", "__norm")
-    ordered = part.orderBy(F.col("__id").asc_nulls_last())
+    # At most HOT_PARTS rows. The row numbers are written, so a retried task deals alike; null ids are spread too.
+    salt = F.pmod(F.xxhash64("__at"), F.coalesce(F.col("__parts"), F.lit(1)))
+    key = ["__lead", "__sha", "__salt"]
+    sorted_ = Window.partitionBy(*key).orderBy("__text", F.col("__id").asc_nulls_last())
+    run = Window.partitionBy(*key, "__run")
 
     def runs(how: str, *carried: str) -> DataFrame:
         """Rows beside their equals: rank, smallest id and size within their (salted) part."""
@@ -58,16 +67,18 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keyed.join(F.broadcast(hot), "__sha", how)
             .withColumn("__salt", salt)
             .withColumn("__hot", F.col("__parts").isNotNull())
-            .withColumn("__lead", F.substring("__norm", 1, LEAD))
-            .select("__id", "__norm", "__sha", "__salt", "__hot", "__lead", *carried)
-            .repartitionByRange("__lead", "__sha", "__salt")
+            .select("__id", "__norm", "__row", *key, "__hot")
+            .repartitionByRange(*key)
+            .withColumn("__text", whole)
         )
-        return dealt.select(
-            "__id", "__sha", "__salt", "__hot", "__lead", *carried,
-            F.row_number().over(ordered).alias("__rank"),
-            F.min("__id").over(part).alias("__keep"),
-            F.count(F.lit(1)).over(part).alias("__size"),
-            F.when(F.col("__hot"), F.col("__norm")).alias("__text"),
+        # Whole texts of neighbours in sorted order; unlike ones start a new run.
+        compared = dealt.select("*", F.coalesce(F.col("__text") != F.lag("__text").over(sorted_), F.lit(True)).cast("int").alias("__new"))
+        numbered = compared.select("__id", *carried, *key, "__hot", F.when(F.col("__hot"), F.col("__text")).alias("__text"), F.sum("__new").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)).alias("__run"))
+        return numbered.select(
+            "__id", "__sha", "__salt", "__hot", "__text", *carried,
+            F.row_number().over(run.orderBy(F.col("__id").asc_nulls_last())).alias("__rank"),
+            F.min("__id").over(run).alias("__keep"),
+            F.count(F.lit(1)).over(run).alias("__size"),
         )
 
     # Heads of hot parts: fewer than 2 * HOT_PARTS rows, compared whole again. Only hot rows move for them.
