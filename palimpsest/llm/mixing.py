@@ -7,37 +7,42 @@ min(cap, level * weight) for the one level at which the targets add up.
 
 Take: a source's documents are all taken as often as its target holds its whole
 size; the remaining budget is fitted by a choice of documents.  Documents are
-counted by exact length.  A seeded base share of each length's count is taken
-first, then the largest lengths that fit, down to a gap of about
-``GAP_LENGTHS`` times the largest length (``GAP_WORDS`` at most), and the gap is
-filled by a bounded-knapsack dynamic programme over the counts that are left.  Which
-documents of a length are taken follows from their seeded hash.
+counted by exact length.  A seeded base share of each length's count is a first
+choice; a bounded-knapsack dynamic programme over the counts then gives
+documents back or takes more, so that the sum comes nearest to the budget.  It
+may move one copy of each length at first, then twice as many, until the budget
+is met or all copies may move, when the result is the nearest that any choice
+has.  Lengths are divided by their common divisor.  Only if the programme's bit
+sets would hold more than ``WORK_BITS`` bits does it stop at the nearest sum
+found so far.  Which documents of a length are taken follows from their seeded hash.
 
 A (source, length) with very many rows is cut by hash into buckets of about
 ``BUCKET_ROWS`` rows before rows are ranked.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; sources
-of size 0 have target 0; rows with equal ids are told apart by a row number
-only after their hash, so reruns over the same table agree; an empty table gives
+of size 0 have target 0; rows with equal or null ids are told apart by their row
+number, so reruns over the same files agree; an empty table gives
 an empty result.  Other columns are ignored or carried, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WORD, written
+from palimpsest.operators.running import running_sum
 
 #: Fixed value: the weights, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20240101
-GAP_LENGTHS = 4
-#: Most words the programme's bit sets are made for.
-GAP_WORDS = 1 << 16
+#: Bits of all reachable-sum sets of one round of the programme (256 MB).
+WORK_BITS = 1 << 31
 BUCKET_ROWS = 100_000
 
 
@@ -46,83 +51,102 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place``, its row's number in this order from 0: ranges are counted, no task sees all rows."""
+    local = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "mix-order")
+    part = F.shiftright("m", 33)
+    # One row a partition of the range.
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = local.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return local.join(F.broadcast(parts), part == F.col("part")).select(*df.columns, (F.col("ahead") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target) of a table with columns source, size; one small row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # The table of sources has one row a source; these windows see that table only.
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    weighed = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_EPOCHS)
+    """(source, source_size, target) of a table with columns source, size."""
+    per = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    weighed = _placed(per, F.col("source").asc_nulls_last()).withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_EPOCHS).drop("place")
     # In order of cap / weight the capped sources come first: level k is what the rest would get if all before k were capped.
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    ranked = _placed(weighed, F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    ranked = running_sum(running_sum(ranked, [], F.col("cap"), "caps", False, "place"), [], F.col("weight"), "weights", False, "place")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole.size or 0) - F.col("caps")) / (F.lit(whole.weight or 0) - F.col("weights"))
     # The first source in that order that the level leaves under its cap has the level that holds.
-    found = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("order"), F.col("level").alias("level")))
-    levelled = weighed.withColumn("level", level).withColumn("found", found)
-    final = levelled.withColumn("level", F.min("found").over(everything).getField("level"))
-    return final.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))).alias("target"))
+    found = ranked.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("order"), "level")).alias("found")).first().found
+    held = F.lit(found.level if found else None).cast("double")
+    return ranked.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(held * F.col("weight"), F.col("cap").cast("double")))).alias("target"))
+
 
+def _moves(gap: int, lengths: list[int], back: list[int], more: list[int]) -> tuple[int, list[int] | None]:
+    """(distance to ``gap``, copies by which each length's count changes): bounded knapsack on bit sets.
 
-def fill_gap(gap: int, lengths: list[int], counts: list[int]) -> list[int]:
-    """How many of each length, at most its count, come nearest to ``gap`` from below: bounded knapsack on bit sets."""
-    reach, steps, mask = 1, [], (1 << (gap + 1)) - 1
-    for k, (length, count) in enumerate(zip(lengths, counts)):
-        left, part = min(count, gap // length), 1
+    A length may change by -back to +more copies; ``lengths`` ascend, so that sums stay
+    short.  The changes are None if the bit sets outgrew ``WORK_BITS``.
+    """
+    reach, offset, held, steps = 1, 0, 0, []  # bit s of reach: the sum s - offset can be had
+    for k, length in enumerate(lengths):
+        left, part = back[k] + more[k], 1
+        offset += back[k] * length
         while left > 0:  # binary parts of the count
             part = min(part, left)
             steps.append((k, part, length * part, reach))
-            reach |= (reach << (length * part)) & mask
+            held += reach.bit_length()
+            if held > WORK_BITS:
+                return 1 << 62, None
+            reach |= reach << (length * part)
             left -= part
             part *= 2
-        if reach >> gap & 1:
+        if gap + offset >= 0 and reach >> (gap + offset) & 1:
+            lengths = lengths[:k + 1]
             break
-    best, taken = reach.bit_length() - 1, [0] * len(lengths)
+    at = max(0, gap + offset)
+    low, high = (reach & ((1 << (at + 1)) - 1)).bit_length() - 1, reach >> at
+    best = low if not high or (low >= 0 and gap + offset - low <= at + (high & -high).bit_length() - 1 - (gap + offset)) else at + (high & -high).bit_length() - 1
+    distance, change = abs(best - gap - offset), [0] * len(lengths)
     for k, part, weight, had in reversed(steps):
         if not had >> best & 1:
-            taken[k] += part
+            change[k] += part
             best -= weight
-    return taken
+    return distance, [c - b for c, b in zip(change, back)]
 
 
 def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take for ``budget`` words."""
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    total = int((lengths * counts).sum())
-    taken = np.zeros(len(lengths), dtype=np.int64)
+    """How many documents of each length to take, so that their words come nearest to ``budget``."""
+    lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
+    total = sum(x * n for x, n in zip(lengths, counts))
     if budget <= 0 or not total:
-        return taken
+        return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total:
-        return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
-    gap = budget - int((lengths * taken).sum())
-    order = np.argsort(-lengths, kind="stable").tolist()
-    spare = (counts - taken).tolist()
-    keep = min(GAP_WORDS, GAP_LENGTHS * int(lengths.max()))
-    for k in order:  # large lengths first, as long as more than the programme's room is open
-        if gap <= keep:
+        return np.array(counts, dtype=np.int64)
+    unit = math.gcd(*(x for x, n in zip(lengths, counts) if n))
+    goal = (2 * budget + unit) // (2 * unit)  # sums are multiples of unit: the nearest one is aimed at
+    order = sorted((k for k, x in enumerate(lengths) if x > 0 and counts[k] > 0), key=lambda k: lengths[k])
+    size = [lengths[k] // unit for k in order]
+    count = [counts[k] for k in order]
+    taken = [n * budget // total for n in count]
+    gap = goal - sum(x * n for x, n in zip(size, taken))
+    for j in reversed(range(len(size))):  # largest first, as long as they fit
+        n = max(0, min(count[j] - taken[j], gap // size[j]))
+        taken[j] += n
+        gap -= n * size[j]
+    room = 1
+    while gap:
+        back, more = [min(n, room) for n in taken], [min(c - n, room) for c, n in zip(count, taken)]
+        distance, change = _moves(gap, size, back, more)
+        if change is None:
             break
-        length = int(lengths[k])
-        n = min(spare[k], (gap - keep + length - 1) // length) if length else 0
-        n = min(n, gap // length) if length else 0
-        taken[k] += n
-        spare[k] -= n
-        gap -= n * length
-    if gap > 2 * GAP_WORDS:  # only lengths far apart leave so much: take what fits
-        for k in order:
-            n = min(spare[k], gap // int(lengths[k])) if lengths[k] else 0
-            taken[k] += n
-            spare[k] -= n
-            gap -= n * int(lengths[k])
-    open_ = [k for k in range(len(lengths)) if lengths[k] > 0 and spare[k] > 0 and lengths[k] <= gap]
-    extra = fill_gap(gap, [int(lengths[k]) for k in open_], [int(spare[k]) for k in open_])
-    for k, n in zip(open_, extra):
-        taken[k] += n
-    gap = budget - int((lengths * taken).sum())
-    over = [k for k in range(len(lengths)) if taken[k] < counts[k] and 0 < lengths[k] < 2 * gap]
-    if over:  # one document more comes nearer, from above
-        taken[min(over, key=lambda k: abs(int(lengths[k]) - gap))] += 1
-    return taken
+        if distance < abs(gap) or not distance:
+            for j, c in enumerate(change):
+                taken[j] += c
+                gap -= c * size[j]
+        if not distance or all(b == n and m == c - n for b, m, n, c in zip(back, more, taken, count)):
+            break
+        if room >= max(count):
+            break
+        room *= 2
+    out = np.zeros(len(lengths), dtype=np.int64)
+    out[order] = taken
+    return out
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +158,10 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size, and what else is to be carried) with source_size, target and taken."""
+    """``rows`` (doc_id, source, size, at, and what else is to be carried) with source_size, target and taken.
+
+    ``at`` numbers the rows: by it null ids, which are no order, are dealt and ranked.
+    """
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     wanted = targets(counts.select("source", (F.col("size") * F.col("n")).alias("size")))
     wanted = wanted.withColumnRenamed("source", "s")
@@ -144,12 +171,12 @@ def mix(rows: DataFrame) -> DataFrame:
 
     n = rows.count()
     buckets = max(64, n // BUCKET_ROWS)
-    seeded = rows.withColumn("__h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(buckets)))
+    seeded = rows.withColumn("__h", F.xxhash64(F.lit(SEED), "doc_id", F.when(F.col("doc_id").isNull(), F.col("at")))).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(buckets)))
     cells = seeded.groupBy("source", "size", "__bucket").agg(F.count(F.lit(1)).alias("in_cell"))
     before = Window.partitionBy("source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("in_cell").over(before), F.lit(0))).withColumnsRenamed({"source": "s", "size": "z", "__bucket": "b"})
     cell_plan = cells.join(plan, F.col("s").eqNullSafe(F.col("plan_source")) & (F.col("z") == F.col("plan_size"))).select("s", "z", "b", "ahead", "source_size", "target", "epochs", "extra")
-    ranked = seeded.withColumn("__rank", F.row_number().over(Window.partitionBy("source", "size", "__bucket").orderBy("__h", "doc_id")))
+    ranked = seeded.withColumn("__rank", F.row_number().over(Window.partitionBy("source", "size", "__bucket").orderBy("__h", "doc_id", "at")))
     joined = ranked.join(cell_plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("__bucket") == F.col("b")))
     times = F.col("epochs") + F.when(F.col("ahead") + F.col("__rank") <= F.col("extra"), 1).otherwise(0)
     return joined.select(*rows.columns, "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
@@ -157,7 +184,7 @@ def mix(rows: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken and source."""
-    rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "mix-sizes")
+    rows = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("at")), "mix-sizes")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 

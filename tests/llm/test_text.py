@@ -201,15 +201,33 @@ def test_mixing_of_many(spark):
     assert abs(sum(r.t for r in per) - sum(r.z for r in per)) < 1e-6
 
 
-def test_subset_sum():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        lengths = rng.choice(np.arange(1, 40), 4, replace=False)
-        counts = rng.integers(0, 4, 4)
-        gap = int(rng.integers(0, 120))
-        best = max(s for c in itertools.product(*[range(n + 1) for n in counts]) if (s := int((lengths * c).sum())) <= gap)
-        got = mixing.fill_gap(gap, lengths.tolist(), counts.tolist())
-        assert (np.array(got) <= counts).all() and int((lengths * got).sum()) == best
+@pytest.mark.parametrize("low, high", [(20, 1500), (30_000, 110_000), (1, 30)])
+def test_budgets_are_met_or_nearest(low, high):
+    rng = np.random.default_rng(low)
+    for _ in range(300):
+        lengths, counts = rng.choice(np.arange(low, high), 6, replace=False), rng.integers(1, 4, 6)
+        sums = {0}
+        for x, n in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + x * k for s in sums for k in range(n + 1)}
+        budget = int(rng.choice(list(sums))) if rng.random() < 0.5 else int(rng.integers(0, max(sums) + 1))
+        got = mixing.choose(lengths, counts, budget)
+        assert (got >= 0).all() and (got <= counts).all()
+        assert abs(int((lengths * got).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_budgets_of_many_lengths():
+    rng = np.random.default_rng(3)
+    for m, low, high, most in ((20_000, 1, 20_001, 1000), (500, 30_000, 110_000, 100_000)):
+        lengths, counts = rng.choice(np.arange(low, high), m, replace=False), rng.integers(1, most + 1, m)
+        budget = int((lengths * counts).sum()) // 3 + 7
+        assert int((lengths * mixing.choose(lengths, counts, budget)).sum()) == budget
+    assert mixing.choose(np.array([0, 0]), np.array([3, 1]), 5).tolist() == [0, 0] and not len(mixing.choose(np.array([]), np.array([]), 0))
+
+
+def test_mixing_of_null_ids(spark):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat('w ', 3) AS text", "IF(id < 1000, 'a', NULL) AS source")
+    rows = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.source: r.n for r in rows} == {"a": 1000, None: 2000} and all(abs(r.k - r.t) <= 2 for r in rows)
 
 
 @pytest.fixture(scope="module")
