@@ -2,11 +2,15 @@
 
 The pieces and their scores come from an existing tokenizer's vocabulary file
 (never trained here); its scores give a prior over pieces.  Expected piece
-counts over all segmentations of the training documents' words, by forward and
-backward recursion in log space, turn the prior into the unigram model.  The
-probability of a word is the sum over all its segmentations (forward
-recursion), and a document's is the product over its words and one end.  Pieces
-never cross white space, so each distinct word is worked out once.
+counts over all segmentations of the training documents' distinct words, by
+forward and backward recursion in log space, turn the prior into the unigram
+model, in rounds over growing parts of the words, the last one over all.
+
+The lattice of a word has the pieces as edges and, if training has the word, one
+edge for it as a whole, of its count less a discount; the discounts of all words
+weight the paths of pieces.  A word's probability is the sum over all paths
+(forward recursion), and a document's is the product over its words and one end.
+Pieces never cross white space, so each distinct word is worked out once.
 
 Words are counted over all documents and kept as a table in the shared folder.
 Only its most frequent words, at most ``TOP_WORDS``, are broadcast; the other
@@ -15,12 +19,15 @@ join key has more than about 1/``TOP_WORDS`` of all words.
 
 Defined cases: a null or empty text has the end only; rows repeated in ``docs``
 are scored each; a byte of no piece is a piece of its own, so every text has a
-probability above zero; without training documents N is 0 and the prior alone
-is the model; an empty table gives an empty result.  Other columns are ignored.
+probability above zero; a long text without white space is one word, worked out
+in stretches; without training documents N is 0 and the prior alone is the
+model; an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 from itertools import repeat
 
@@ -34,11 +41,13 @@ from palimpsest.llm.common import remainder_of_crc, written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 TOP_WORDS = 200_000
-ROUNDS = 1
+#: Shares of the distinct words that the rounds of fitting see; the last sees all.
+ROUNDS = (1 / 16, 1 / 8, 1 / 4, 1.0)
 #: Pseudo-tokens that the vocabulary's own scores are worth.
 PRIOR = 1000.0
 LONG_WORD = 48
-MOST_PIECE = 24
+#: Starts of a longer word whose edges are held at once.
+STRETCH = 1 << 15
 FLUSH_WORDS = 200_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.float64(-np.inf)
@@ -54,7 +63,7 @@ def vocabulary(path: str = TOKENIZER) -> tuple[list[bytes], np.ndarray]:
         if sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k):
             continue
         piece = sp.id_to_piece(k).replace("▁", " ").encode()
-        if b" " not in piece[1:] and len(piece) <= MOST_PIECE:
+        if b" " not in piece[1:]:
             pieces[piece] = max(pieces.get(piece, -np.inf), sp.get_score(k))
     least = min(pieces.values(), default=0.0) - 1
     for b in range(256):
@@ -73,78 +82,111 @@ def _step(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Vectorised forward and backward recursion over the segmentations of words."""
+    """Forward and backward recursion over the segmentations of words, many words of one length at a time.
 
-    bits = 20
+    Pieces and their prefixes are in a table of open addresses, at most a quarter
+    full, so that a start is given up as soon as no piece goes on.
+    """
 
     def __init__(self, pieces: list[bytes], p: np.ndarray):
         self.logp = np.log(np.maximum(p, 1e-300))
         self.most = max(map(len, pieces))
-        size = 1 << self.bits
-        self.keys, self.ids = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
-        self.names = {piece: k for k, piece in enumerate(pieces)}
-        for k, piece in enumerate(pieces):
-            h = np.zeros(1, dtype=np.uint64)
-            for b in piece:
-                h = _step(h, np.array([b]))
-            for at in self._places(h):
-                if self.ids[at[0]] < 0:
-                    self.keys[at[0]], self.ids[at[0]] = h[0], k
-                    break
-            else:
-                raise ValueError("the table of pieces is too full")
-
-    def _places(self, h: np.ndarray):
-        for shift in (64 - self.bits, 22, 2):
-            yield ((h >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        of = {piece: k for k, piece in enumerate(pieces)}
+        known = of | {piece[:n]: -2 for piece in pieces for n in range(1, len(piece)) if piece[:n] not in of}
+        self.bits = max(10, (4 * len(known)).bit_length())
+        self.keys, self.ids = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -1, dtype=np.int32)
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+        names, ids = list(known), np.fromiter(known.values(), dtype=np.int32, count=len(known))
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            m = np.frombuffer(b"".join(names[k] for k in at.tolist()), dtype=np.uint8).reshape(-1, size)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for j in range(size):
+                h = _step(h, m[:, j])
+            for key, value in zip(h.tolist(), ids[at].tolist()):
+                slot = key >> 64 - self.bits
+                while self.ids[slot] != -1:
+                    slot = (slot + 1) % len(self.ids)
+                self.keys[slot], self.ids[slot] = key, value
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece, or -1."""
-        out = np.full(len(h), -1, dtype=np.int32)
-        for at in self._places(h):
-            hit = self.keys[at] == h
-            out[hit] = self.ids[at[hit]]
+        """Number of the piece, -2 for what only begins pieces, -1 for what begins none."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.ids[at]
+        open_ = np.flatnonzero((out != -1) & (self.keys[at] != h))
+        while len(open_):  # the slot has another key: the next one
+            at[open_] = (at[open_] + 1) % len(self.ids)
+            out[open_] = self.ids[at[open_]]
+            open_ = open_[(out[open_] != -1) & (self.keys[at[open_]] != h[open_])]
         return out
 
-    def _edges(self, m: np.ndarray):
-        """(start, end, piece of each word or -1) of all edges of words of one length (rows of m)."""
-        n, size = m.shape
+    def _edges(self, columns: np.ndarray):
+        """(start, end, words, pieces) of all edges of words of one length; ``columns`` has a row for each byte."""
+        size, n = columns.shape
         for i in range(size):
-            h = np.zeros(n, dtype=np.uint64)
+            rows, h = None, np.zeros(n, dtype=np.uint64)
             for j in range(i, min(size, i + self.most)):
-                h = _step(h, m[:, j])
+                h = _step(h, columns[j] if rows is None else columns[j][rows])
                 ids = self.lookup(h)
-                if (ids >= 0).any():
-                    yield i, j + 1, ids
-
-    def _forward(self, m: np.ndarray, edges) -> np.ndarray:
-        alpha = np.full((m.shape[1] + 1, m.shape[0]), _NONE)
+                alive = np.flatnonzero(ids != -1)
+                if len(alive) < len(ids):
+                    rows, h, ids = (alive if rows is None else rows[alive]), h[alive], ids[alive]
+                if not len(ids):
+                    break
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit) == n:
+                    yield i, j + 1, slice(None), ids
+                elif len(hit):
+                    yield i, j + 1, (hit if rows is None else rows[hit]), ids[hit]
+
+    def _forward(self, columns: np.ndarray, edges) -> np.ndarray:
+        alpha = np.full((columns.shape[0] + 1, columns.shape[1]), _NONE)
         alpha[0] = 0.0
-        for i, j, ids in edges:
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.where(ids >= 0, self.logp[ids], _NONE))
+        for i, j, rows, ids in edges:
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.logp[ids])
         return alpha
 
-    def _long(self, word: bytes) -> float:
-        n, get = len(word), self.names.get
-        alpha = [-np.inf] * (n + 1)
-        alpha[0] = 0.0
-        for j in range(1, n + 1):
-            found = [alpha[i] + self.logp[k] for i in range(max(0, j - self.most), j) if (k := get(word[i:j])) is not None]
-            top = max(found)
-            alpha[j] = top + float(np.log(np.exp(np.array(found) - top).sum()))
-        return alpha[n]
+    # A long word by itself: edges of a stretch of starts at a time, so that few are held.
+    def _starts(self, word: np.ndarray, a: int, b: int):
+        rows, h, found = np.arange(a, b), np.zeros(b - a, dtype=np.uint64), []
+        for step in range(self.most):
+            inside = rows + step < len(word)
+            rows, h = rows[inside], h[inside]
+            h = _step(h, word[rows + step])
+            ids = self.lookup(h)
+            hit, alive = ids >= 0, ids != -1
+            found.append((rows[hit], np.full(int(hit.sum()), step + 1), ids[hit]))
+            rows, h = rows[alive], h[alive]
+            if not len(rows):
+                break
+        i, size, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(i, kind="stable")
+        return i[order], (i + size)[order], ids[order]
+
+    def _push(self, alpha: array, edges) -> None:
+        for i, j, lp in edges:
+            high, low = alpha[j], alpha[i] + lp
+            if low > high:
+                high, low = low, high
+            alpha[j] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+    def _long(self, word: bytes) -> array:
+        """Log of the sum over all segmentations of the first j bytes, for each j."""
+        m, alpha = np.frombuffer(word, dtype=np.uint8), array("d", [0.0]) + array("d", [-math.inf]) * len(word)
+        for a in range(0, len(m), STRETCH):
+            i, j, ids = self._starts(m, a, min(len(m), a + STRETCH))
+            self._push(alpha, zip(i.tolist(), j.tolist(), self.logp[ids].tolist()))
+        return alpha
 
     def _long_counts(self, word: bytes, times: float, counts: np.ndarray) -> None:
-        n, get = len(word), self.names.get
-        alpha, beta = np.full(n + 1, _NONE), np.full(n + 1, _NONE)
-        edges = [(i, j, k) for j in range(1, n + 1) for i in range(max(0, j - self.most), j) if (k := get(word[i:j])) is not None]
-        alpha[0] = beta[n] = 0.0
-        for i, j, k in edges:
-            alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.logp[k])
-        for i, j, k in reversed(edges):
-            beta[i] = np.logaddexp(beta[i], beta[j] + self.logp[k])
-        for i, j, k in edges:
-            counts[k] += times * np.exp(alpha[i] + self.logp[k] + beta[j] - alpha[n])
+        m, alpha = np.frombuffer(word, dtype=np.uint8), np.frombuffer(self._long(word))
+        beta = array("d", [-math.inf]) * len(m) + array("d", [0.0])
+        for a in reversed(range(0, len(m), STRETCH)):
+            i, j, ids = self._starts(m, a, min(len(m), a + STRETCH))
+            lp = self.logp[ids]
+            self._push(beta, zip(j[::-1].tolist(), i[::-1].tolist(), lp[::-1].tolist()))
+            share = np.exp(alpha[i] + lp + np.array([beta[x] for x in j.tolist()]) - alpha[-1])
+            counts += np.bincount(ids, weights=share * times, minlength=len(counts))
 
     @staticmethod
     def _by_length(words: list[bytes]):
@@ -154,14 +196,18 @@ class Lattice:
             for k in range(0, len(at), 8192):
                 yield size, at[k:k + 8192]
 
+    @staticmethod
+    def _columns(words: list[bytes], at: np.ndarray, size: int) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(b"".join(words[k] for k in at.tolist()), dtype=np.uint8).reshape(-1, size).T)
+
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the sum over all segmentations, of each word with its leading space."""
         words, out = [b" " + w for w in words], np.zeros(len(words))
         for size, at in self._by_length(words):
             if size > LONG_WORD:
-                out[at] = [self._long(words[k]) for k in at.tolist()]
+                out[at] = [self._long(words[k])[-1] for k in at.tolist()]
                 continue
-            m = np.frombuffer(b"".join(words[k] for k in at.tolist()), dtype=np.uint8).reshape(-1, size)
+            m = self._columns(words, at, size)
             out[at] = self._forward(m, self._edges(m))[size]
         return out
 
@@ -173,17 +219,16 @@ class Lattice:
                 for k in at.tolist():
                     self._long_counts(words[k], float(times[k]), counts)
                 continue
-            m = np.frombuffer(b"".join(words[k] for k in at.tolist()), dtype=np.uint8).reshape(-1, size)
+            m = self._columns(words, at, size)
             edges = list(self._edges(m))
             alpha = self._forward(m, edges)
             beta = np.full_like(alpha, _NONE)
             beta[size] = 0.0
-            for i, j, ids in reversed(edges):
-                has = ids >= 0
-                lp = np.where(has, self.logp[ids], _NONE)
-                share = np.exp(alpha[i] + lp + beta[j] - alpha[size]) * times[at]
-                counts += np.bincount(ids[has], weights=share[has], minlength=len(counts))
-                beta[i] = np.logaddexp(beta[i], beta[j] + lp)
+            weight = times[at]
+            for i, j, rows, ids in reversed(edges):
+                onward = self.logp[ids] + beta[j, rows]
+                counts += np.bincount(ids, weights=np.exp(alpha[i, rows] + onward - alpha[size, rows]) * weight[rows], minlength=len(counts))
+                beta[i, rows] = np.logaddexp(beta[i, rows], onward)
         return counts
 
 
@@ -228,28 +273,36 @@ def _least_count(words: DataFrame, most: int) -> int:
     return least
 
 
-def fit(words: DataFrame, n_docs: int, pieces: list[bytes], prior: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(piece probabilities, end probability) after ``rounds`` of expectation and maximisation over the word table."""
-    spark, p, end = words.sparkSession, prior, 1.0 / (PRIOR + 1.0)
-    for _ in range(rounds):
+def fit(words: DataFrame, pieces: list[bytes], prior: np.ndarray, rounds=ROUNDS) -> np.ndarray:
+    """Piece probabilities after rounds of expectation and maximisation over the words of training.
+
+    Every distinct word counts once: the pieces are there for words that are not known.
+    """
+    spark, p, slot = words.sparkSession, prior, F.pmod(F.xxhash64("word", F.lit(3)), F.lit(1 << 20))
+    for share in rounds:
         model = spark.sparkContext.broadcast(Lattice(pieces, p))
 
         def run(batches, model=model):
             total = None
             for b in batches:
-                got = model.value.expected_counts(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                got = model.value.expected_counts(b.column(0).to_pylist(), np.ones(b.num_rows))
                 total = got if total is None else total + got
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        sums = words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        seen = words.where("n_train > 0").where(slot < int(share * (1 << 20))).select("word")
+        sums = seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         counts = np.zeros(len(pieces))
         for r in sums.collect():  # at most one row a piece
             counts[r.piece] = r.n
-        whole = counts.sum() + PRIOR + max(1, n_docs)
-        p, end = (counts + PRIOR * prior) / whole, max(1, n_docs) / whole
-    return p, end
+        p = (counts + PRIOR * prior) / (counts.sum() + PRIOR)
+    return p
+
+
+def discount(once: int, twice: int) -> float:
+    """What is taken off the count of each word of training, from how many words occur once and twice."""
+    return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
 def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, top_words: int = TOP_WORDS) -> DataFrame:
@@ -258,15 +311,21 @@ def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, top_words: int
     rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     table = written(word_table(rows), "words")
     n_docs = rows.where("NOT held_out").count()
-    whole = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count_if(F.col("n_train") > 0).alias("v")).first()
+    whole = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), *[F.count_if(c).alias(k) for k, c in (("v", F.col("n_train") > 0), ("once", F.col("n_train") == 1), ("twice", F.col("n_train") == 2))]).first()
     n_train, v = int(whole.n) + n_docs, int(whole.v) + (1 if n_docs else 0)
     pieces, prior = vocabulary(tokenizer)
-    p, end = fit(table, n_docs, pieces, prior)
-    model = spark.sparkContext.broadcast(Lattice(pieces, p))
+    model = spark.sparkContext.broadcast(Lattice(pieces, fit(table, pieces, prior)))
+    less = discount(int(whole.once), int(whole.twice))
+    end = (n_docs - less) / n_train if n_docs else 1.0 / (PRIOR + 1.0)
+    paths = math.log(less * v / n_train if n_train else 1.0 - end)  # weight of the paths of pieces
 
     def weigh(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(model.value.log_probabilities(b.column(0).to_pylist()) / np.log(10))], names=["word", "n", "c", "lattice"])
+            counts = b.column(2).to_numpy()
+            word = np.log(np.where(counts > 0, counts - less, 1.0) / max(1, n_train))
+            log_p = paths + model.value.log_probabilities(b.column(0).to_pylist())
+            log_p = np.where(counts > 0, np.logaddexp(log_p, word), log_p)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(log_p / np.log(10))], names=["word", "n", "c", "lattice"])
 
     weighed = written(table.select("word", "n", "n_train").mapInArrow(weigh, "word binary, n long, c long, lattice double"), "word-scores")
     top = weighed.where(F.col("n") >= _least_count(weighed, top_words)).select("word", "c", "lattice").toArrow()  # at most top_words

@@ -233,23 +233,51 @@ def test_mixing_of_null_ids(spark):
 @pytest.fixture(scope="module")
 def model():
     names, prior = lattice.vocabulary()
-    return lattice.Lattice(names, prior), prior
+    return lattice.Lattice(names, prior), names, prior
 
 
-def brute_word(model, word):
-    lat, prior = model
-    w, total = b" " + word, [1.0]
+def brute_word(names, p, word):
+    """Log of the sum over all segmentations, by plain recursion."""
+    of, w, total = dict(zip(names, p)), b" " + word, [1.0]
     for j in range(1, len(w) + 1):
-        total.append(sum(total[i] * prior[k] for i in range(j) if (k := lat.names.get(w[i:j])) is not None))
+        total.append(sum(total[i] * of[w[i:j]] for i in range(j) if w[i:j] in of))
     return math.log(total[-1])
 
 
-def test_lattice_sums_all_segmentations(model):
+def test_lattice_sums_all_segmentations(model, monkeypatch):
+    lat, names, prior = model
     words = [b"hello", b"the", b"x" * 30, "é".encode(), b"\xff\xfe", b"tionerthe" * 8]
-    assert np.allclose(model[0].log_probabilities(words), [brute_word(model, w) for w in words])
-    counts = model[0].expected_counts([b"hello", b"y" * 60], np.array([2.0, 1.0]))
-    lengths = np.array([len(n) for n in model[0].names])
+    want = [brute_word(names, prior, w) for w in words]
+    assert np.allclose(lat.log_probabilities(words), want)
+    lengths = np.array([len(n) for n in names])
+    pair = [b"hello", b"y" * 60], np.array([2.0, 1.0])
+    counts = lat.expected_counts(*pair)
     assert abs((counts * lengths).sum() - (2 * 6 + 61)) < 1e-6  # every byte is in one piece of each segmentation
+    monkeypatch.setattr(lattice, "LONG_WORD", 3)  # all words the way of long ones, in stretches
+    monkeypatch.setattr(lattice, "STRETCH", 7)
+    assert np.allclose(lat.log_probabilities(words), want) and np.allclose(lat.expected_counts(*pair), counts)
+
+
+def test_expected_counts_against_segmentations():
+    names, p = [b" ", b"a", b"b", b" a", b"ab", b"aba"], np.array([0.3, 0.2, 0.1, 0.2, 0.1, 0.1])
+    word, want, total = b" abab", collections.Counter(), 0.0
+    for cuts in itertools.product([False, True], repeat=len(word) - 1):
+        at = [0, *[k + 1 for k, c in enumerate(cuts) if c], len(word)]
+        parts = [word[a:b] for a, b in zip(at, at[1:])]
+        if all(x in names for x in parts):
+            chance = math.prod(p[names.index(x)] for x in parts)
+            total += chance
+            for x in parts:
+                want[x] += chance
+    lat = lattice.Lattice(names, p)
+    assert np.allclose(lat.expected_counts([word[1:]], np.ones(1)), [want[x] / total for x in names])
+    assert abs(lat.log_probabilities([word[1:]])[0] - math.log(total)) < 1e-9
+
+
+def test_long_text_without_white_space(spark):
+    docs = spark.createDataFrame([(1, "abcdefg" * 150_000), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lattice.score(docs, F.lit(False)).collect()}
+    assert rows[1].n_tokens == 2 and math.isfinite(rows[1].score) and rows[2].n_tokens == 1
 
 
 @pytest.mark.parametrize("top", [200_000, 2])
@@ -263,8 +291,33 @@ def test_lm_scoring(spark, top):
     log = lambda c: math.log10((c + 1) / (n + v + 1))
     want = collections.Counter((r[0], h, len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1, n, round(sum(log(counts[w]) for w in ws) + log(docs_in), 5)) for r, (ws, h) in zip(ROWS, words))
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
     assert lattice.score(empty(spark), F.lit(False)).count() == 0
+    # The score against paths summed one by one, with the pieces' weights of the fit.
+    names, prior = lattice.vocabulary()
+    table = spark.createDataFrame([(bytearray(w), 1, c) for w, c in counts.items()], "word binary, n long, n_train long")
+    p = lattice.fit(table, names, prior)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = lattice.discount(once, twice)
+    chance = {w: (max(0, counts[w] - d) + d * v * math.exp(brute_word(names, p, w))) / n for ws, _ in words for w in ws}
+    score = collections.Counter((r[0], round(sum(math.log10(chance[w]) for w in ws) + math.log10((docs_in - d) / n), 4)) for r, (ws, _) in zip(ROWS, words))
+    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in rows) == score
+
+
+def test_fit_raises_the_likelihood_of_new_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = lattice.word_table(docs.select((remainder_of_crc(F.col("doc_id"), 7) == 2).alias("held_out"), "text")).cache()
+    new = [bytes(r.word) for r in table.where("n_train = 0").collect()]
+    names, prior = lattice.vocabulary()
+    mean = [float(lattice.Lattice(names, lattice.fit(table, names, prior, lattice.ROUNDS[:k])).log_probabilities(new).mean()) for k in range(len(lattice.ROUNDS) + 1)]
+    assert all(a < b for a, b in zip(mean, mean[1:])), mean
+
+
+def test_documents_that_occur_twice_score_higher(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:30])), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lattice.score(docs, F.lit(False)).collect()}
+    assert min(score[k] for k in range(30)) > max(score[k] for k in range(30, 60)) and all(score[k] == score[60 + k] for k in range(30))
 
 
 def test_warc(spark, tmp_path):
