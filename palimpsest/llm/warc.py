@@ -2,12 +2,16 @@
 
 Writing: each task writes rolling ``.warc.gz`` files (one gzip member a record)
 under names of its own attempt; the commit writes a manifest of the files of the
-attempts that count, so files of lost or repeated tasks are never read.
+attempts that count, so files of lost or repeated tasks are never read.  Each
+member says in its gzip header (extra field "SL") how long it is, so a reader
+can step over it; other readers of gzip pass over that field.
 
 Reading: files are planned into partitions by size; predicates on record type,
-target URI, record id and page id are pushed to the reader, which parses a
-record's header block first and leaves payloads of unwanted records, and all
-payloads if option ``payload`` is false, without decoding.
+target URI, record id, page id, reference and digest are pushed to the reader.
+It inflates a member only as far as the record's header block, and of unwanted
+records (all, if option ``payload`` is false) inflates nothing more: it goes to
+the next member.  Files without that field are inflated through.  Rows go to
+Spark as Arrow batches.
 
 Columns: page_id, target_uri, record_type, record_id, refers_to, payload_digest,
 payload_bytes, payload.  A row with type ``revisit`` is written without its
@@ -18,8 +22,9 @@ Paths are local paths, file: URIs or anything pyarrow's file systems open.
 Defined cases: a null html is an empty payload; a null url is left out of the
 headers and read as null; a null page_id likewise, and is never a revisit's
 target unless the whole group has none (then all are responses); rows that tie
-at the smallest page_id are all responses; an empty table writes an empty
-archive and reads as no rows.
+at the smallest page_id are all responses, of which one has the record id that
+revisits refer to; an empty table writes an empty archive and reads as no rows.
+Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +33,24 @@ import base64
 import hashlib
 import json
 import posixpath
+import struct
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from palimpsest.llm.common import shared_dir
+from palimpsest.llm.common import fresh_path
 
 SCHEMA = "page_id long, target_uri string, record_type string, record_id string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+ARROW_SCHEMA = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 ROLL_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
+#: Rows and payload bytes of a batch that is read; groups of equal payloads that are broadcast at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BROADCAST_GROUPS = 200_000
 #: Parts of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,30 +65,45 @@ def _fs(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def record_bytes(row) -> bytes:
+def record_bytes(page_id, target_uri, record_type, record_id, refers_to, payload_digest, payload_bytes, payload) -> bytes:
     """One record as bytes, before compression."""
-    payload = bytes(row.payload or b"")
-    revisit = row.record_type == "revisit"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row.payload_bytes
-    block = http if revisit else http + payload
-    head = [("WARC-Type", row.record_type), ("WARC-Record-ID", f"<{row.record_id}>"), ("WARC-Date", DATE)]
-    if row.target_uri is not None:
-        head.append(("WARC-Target-URI", row.target_uri.replace("\r", "%0D").replace("\n", "%0A")))
-    head.append(("WARC-Payload-Digest", f"sha1:{row.payload_digest}"))
+    revisit = record_type == "revisit"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % payload_bytes
+    block = http if revisit else http + (payload or b"")
+    head = [("WARC-Type", record_type), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", DATE)]
+    if target_uri is not None:
+        head.append(("WARC-Target-URI", target_uri.replace("\r", "%0D").replace("\n", "%0A")))
+    head.append(("WARC-Payload-Digest", f"sha1:{payload_digest}"))
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{row.refers_to}>")]
-    if row.page_id is not None:
-        head.append(("X-Page-Id", str(row.page_id)))
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_name(refers_to, payload_digest)}>")]
+    if page_id is not None:
+        head.append(("X-Page-Id", str(page_id)))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def record_name(page_id, digest: str) -> str:
+    """The record id that revisits refer to."""
+    return f"urn:x-page:{'none' if page_id is None else page_id}:{digest}"
+
+
+def member(data: bytes, level: int = 4) -> bytes:
+    """A gzip member of ``data`` that says its whole length and that of ``data`` in the extra field "SL"."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    packed = z.compress(data) + z.flush()
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    whole = 24 + len(packed) + 8
+    if max(whole, len(data)) >= 1 << 32:  # too long for the field
+        return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + packed + tail
+    return b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H2sHII", 12, b"SL", 8, whole, len(data)) + packed + tail
+
+
 class _Message(WriterCommitMessage):
     def __init__(self, files):
         self.files = files
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
@@ -86,16 +112,17 @@ class WarcWriter(DataSourceWriter):
         fs.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         try:
-            for row in iterator:
-                if out is None or size >= ROLL_BYTES:
-                    if out is not None:
-                        out.close()
-                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(posixpath.join(root, files[-1]), compression=None), 0
-                z = zlib.compressobj(4, zlib.DEFLATED, 31)
-                data = z.compress(record_bytes(row)) + z.flush()
-                out.write(data)
-                size += len(data)
+            for batch in iterator:
+                columns = [batch.column(n) for n in ARROW_SCHEMA.names]
+                for k in range(batch.num_rows):
+                    if out is None or size >= ROLL_BYTES:
+                        if out is not None:
+                            out.close()
+                        files.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        out, size = fs.open_output_stream(posixpath.join(root, files[-1]), compression=None), 0
+                    data = member(record_bytes(*[c[k].as_py() for c in columns]))
+                    out.write(data)
+                    size += len(data)
         finally:
             if out is not None:
                 out.close()
@@ -121,56 +148,104 @@ class _Files(InputPartition):
         self.files = files
 
 
-class _Inflater:
-    """Bytes of a file, through its gzip members where it has them."""
+class _Members:
+    """The records of a file one after the other: plain bytes, or the inflated gzip members, no further than asked for."""
+
+    def __init__(self, stream, gz: bool, tally: dict):
+        self.stream, self.gz, self.tally = stream, gz, tally
+        self.raw, self.at = b"", 0  # read, and how much of it is used
+        self.data, self.z, self.rest = bytearray(), None, None  # inflated, its decompressor, compressed bytes of the member still unused
 
-    def __init__(self, stream, gz: bool):
-        self.stream, self.gz, self.data, self.end = stream, gz, bytearray(), False
-        self.z, self.raw = (zlib.decompressobj(31) if gz else None), b""
+    def _raw(self, n: int) -> bool:
+        """At least n unused bytes are in ``raw``."""
+        if len(self.raw) - self.at < n:
+            self.raw, self.at = self.raw[self.at:] + self.stream.read(max(n, 1 << 20)), 0
+        return len(self.raw) - self.at >= n
 
-    def _more(self) -> bool:
-        if self.end:
+    def _pass(self, n: int) -> None:
+        here = min(n, len(self.raw) - self.at)
+        self.at += here
+        if n > here:
+            self.stream.seek(n - here, 1)
+
+    def next(self) -> bool:
+        """To the next record; what is left of this one is passed over, if its length is known without inflating."""
+        if not self.gz:
+            return bool(self.data) or self._raw(1)
+        if self.rest is not None:
+            self._pass(self.rest)
+            self.data.clear()
+            self.z = None
+        if self.z is not None or self.data:  # a member of unknown length, or several records in one
+            return bool(self.data) or self._more()
+        return self._open()
+
+    def _open(self) -> bool:
+        self.rest = None
+        if not self._raw(24) and not self._raw(1):
             return False
+        head = self.raw[self.at:self.at + 24]
+        if len(head) >= 24 and head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"SL" and head[10:12] == b"\x0c\x00":
+            whole, _ = struct.unpack("<II", head[16:24])
+            self._pass(24)
+            self.rest, self.z = whole - 24, zlib.decompressobj(-15)
+        else:
+            self.z = zlib.decompressobj(31)
+        return True
+
+    def _more(self, most: int = 1 << 16) -> bool:
         if not self.gz:
-            chunk = self.stream.read(1 << 20)
-            self.end = not chunk
-            self.data += chunk
-            return bool(chunk)
+            if not self._raw(1):
+                return False
+            self.data += self.raw[self.at:]
+            self.at = len(self.raw)
+            return True
         while True:
-            if not self.raw:
-                self.raw = self.stream.read(1 << 18)
-                if not self.raw:
-                    self.end = True
-                    return False
-            got = self.z.decompress(self.raw, 1 << 20)
-            self.raw = self.z.unconsumed_tail or self.z.unused_data
+            if self.z is None and not self._open():
+                return False
+            if not self._raw(1):
+                return False
+            chunk = self.raw[self.at:self.at + (1 << 14 if self.rest is None else min(1 << 14, self.rest))]
+            got = self.z.decompress(chunk, most)
+            used = len(chunk) - len(self.z.unused_data if self.z.eof else self.z.unconsumed_tail)
+            self.at += used
+            if self.rest is not None:
+                self.rest -= used
+            self.tally["inflated"] = self.tally.get("inflated", 0) + len(got)
+            self.data += got
             if self.z.eof:
-                self.z = zlib.decompressobj(31)
+                if self.rest is not None:
+                    self._pass(self.rest)
+                    self.rest = 0
+                    return bool(got)
+                self.z = None
             if got:
-                self.data += got
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        at = self.data.find(mark)
+        at, step = self.data.find(mark), 1 << 11
         while at < 0:
             seen = max(0, len(self.data) - len(mark))
-            if not self._more():
+            if not self._more(step):
                 return None
-            at = self.data.find(mark, seen)
+            at, step = self.data.find(mark, seen), min(1 << 16, 2 * step)
         out = bytes(self.data[:at])
         del self.data[:at + len(mark)]
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.data) < n and self._more():
+        while len(self.data) < n and self._more(max(1 << 16, n - len(self.data))):
             pass
         out = bytes(self.data[:n])
         del self.data[:n]
         return out
 
     def skip(self, n: int) -> None:
+        """Passes over the rest of a record; a member of known length is left as it is."""
+        if self.gz and self.rest is not None:
+            return
         if not self.gz and n > len(self.data):
-            self.stream.seek(n - len(self.data), 1)
+            self._pass(n - len(self.data))
             self.data.clear()
             return
         while n:
@@ -186,20 +261,20 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
-def records(stream, gz: bool, wanted=lambda row: True, payload: bool = True):
-    """Rows of a file; ``wanted`` sees the header's fields before the block is read."""
-    data = _Inflater(stream, gz)
-    while True:
+def records(stream, gz: bool, wanted=lambda row: True, payload: bool = True, tally: dict | None = None):
+    """Rows of a file; ``wanted`` sees the header's fields before the block is read. ``tally`` counts the bytes inflated."""
+    data = _Members(stream, gz, {} if tally is None else tally)
+    while data.next():
         block = data.until(b"\r\n\r\n")
         if block is None:
             return
         head = parse_headers(block.lstrip(b"\r\n"))
         length = int(head.get("content-length", 0))
-        page, refers = head.get("x-page-id"), head.get("warc-refers-to", "")
+        page, refers = head.get("x-page-id"), head.get("warc-refers-to", "").strip("<>").split(":")
         row = {
             "page_id": int(page) if page else None, "target_uri": head.get("warc-target-uri"), "record_type": head.get("warc-type"),
             "record_id": head.get("warc-record-id", "").strip("<>") or None,
-            "refers_to": int(refers.strip("<>").rpartition(":")[2]) if refers.startswith("<urn:x-page:") else None,
+            "refers_to": int(refers[2]) if refers[:2] == ["urn", "x-page"] and refers[2] != "none" else None,
             "payload_digest": (head.get("warc-payload-digest") or "").rpartition(":")[2] or None,
         }
         if not wanted(row):
@@ -208,12 +283,8 @@ def records(stream, gz: bool, wanted=lambda row: True, payload: bool = True):
         http_head = data.until(b"\r\n\r\n") if length else b""
         rest = max(0, length - len(http_head or b"") - 4)
         row["payload_bytes"] = int(parse_headers(http_head or b"").get("content-length", rest))
-        if payload and row["record_type"] != "revisit":
-            row["payload"] = data.take(rest)
-            data.skip(4)
-        else:
-            row["payload"] = None
-            data.skip(rest + 4)
+        row["payload"] = data.take(rest) if payload and row["record_type"] != "revisit" else None
+        data.skip(rest + 4 if row["payload"] is None else 4)
         yield row
 
 
@@ -261,10 +332,17 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         fs, _ = _fs(self.path)
+        held, size = [], 0
         for path in partition.files:
             with fs.open_input_file(path) as stream:
-                for r in records(stream, path.endswith(".gz"), self.wanted, self.payload):
-                    yield (r["page_id"], r["target_uri"], r["record_type"], r["record_id"], r["refers_to"], r["payload_digest"], r["payload_bytes"], r["payload"])
+                for row in records(stream, path.endswith(".gz"), self.wanted, self.payload):
+                    held.append(row)
+                    size += len(row["payload"] or b"")
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=ARROW_SCHEMA)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=ARROW_SCHEMA)
 
 
 class WarcSource(DataSource):
@@ -283,31 +361,44 @@ class WarcSource(DataSource):
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Rows for the writer from pages (page_id, url, html): equal payloads of at least ``least_bytes`` become revisits."""
+    """Rows for the writer from pages (page_id, url, html): equal payloads of at least ``least_bytes`` become revisits.
+
+    Groups of equal payloads are found on digests, sizes and ids alone.  The
+    groups of two or more are broadcast, and payloads stay where they are, if
+    there are at most ``BROADCAST_GROUPS``; else rows are joined by digest and
+    a salt, so that no group of copies is one task.
+    """
     base = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("at"))
     base = base.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("key", F.sha2("payload", 256))
-    first = base.groupBy(F.col("key").alias("k"), F.col("payload_bytes").alias("n")).agg(F.min("page_id").alias("first"))
-    joined = base.join(first, (F.col("key") == F.col("k")) & (F.col("payload_bytes") == F.col("n")))
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    # Base 32 of the SHA-1, eight characters for each 40 bits.
-    return joined.select(
-        "page_id", "target_uri", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"),
-        F.when(revisit, F.col("first")).alias("refers_to"), base32_sha1("payload").alias("payload_digest"), "payload_bytes",
-        F.when(~revisit, F.col("payload")).alias("payload"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), "at"))
+    groups = base.groupBy(F.col("key").alias("k"), F.col("payload_bytes").alias("n")).agg(first.alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    groups = groups.select("k", "n", F.col("first.id").alias("first"), F.col("first.at").alias("first_at"))
+    same = (F.col("key") == F.col("k")) & (F.col("payload_bytes") == F.col("n"))
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        joined = base.join(F.broadcast(groups), same, "left")
+    else:
+        salted = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = base.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(16)).cast("int")).join(salted, same & (F.col("salt") == F.col("s")), "left")
+    revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    digest = base32_sha1("payload")
+    # Of responses that tie, one has the plain name; every other record's ends with its row number.
+    plain = ~revisit & (F.col("first_at").isNull() | (F.col("first_at") == F.col("at")))
+    name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("payload_digest"))
+    typed = joined.select("page_id", "target_uri", "payload", "payload_bytes", "at", "first", revisit.alias("again"), plain.alias("plain"), digest.alias("payload_digest"))
+    return typed.select(
+        "page_id", "target_uri", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
+        F.when(F.col("plain"), name).otherwise(F.concat(name, F.lit(":"), F.col("at").cast("string"))).alias("record_id"),
+        F.when(F.col("again"), F.col("first")).alias("refers_to"), "payload_digest", "payload_bytes",
+        F.when(~F.col("again"), F.col("payload")).alias("payload"))
 
 
 def base32_sha1(column: str):
-    """Bare upper-case base 32 of the SHA-1 of a binary column, with DataFrame functions."""
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    """Bare upper-case base 32 of the SHA-1 of a binary column, with DataFrame functions: ten hex digits are eight of base 32."""
     hex_ = F.sha1(column)
-    out = []
-    for part in range(4):
-        value = F.conv(F.substring(hex_, 10 * part + 1, 10), 16, 10).cast("long")
-        for k in range(8):
-            out.append(F.substring(alphabet, (F.shiftright(value, 35 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)))
-    return F.concat(*out)
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hex_, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)])
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def register(spark) -> None:
@@ -324,7 +415,7 @@ def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
-    back = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{shared_dir(spark)}/palimpsest-warc-{uuid.uuid4().hex}")
+    back = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
     # The digest of what was read, where a payload was; a revisit has that of its header.
     digest = F.when(F.col("record_type") == "response", base32_sha1("payload")).otherwise(F.col("payload_digest"))
     size = F.when(F.col("record_type") == "response", F.length("payload")).otherwise(F.col("payload_bytes")).cast("long")

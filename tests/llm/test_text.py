@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import math
@@ -336,14 +337,44 @@ def test_warc(spark, tmp_path):
     assert least.where("record_type = 'revisit'").count() == 0
 
 
-def test_warc_reads_plain_files(tmp_path):
-    from types import SimpleNamespace as Row
+def record(k, payload, kind="response"):
+    return warc.record_bytes(k, f"http://h/{k}", kind, f"r{k}", None, "X", len(payload), payload)
 
-    rows = [Row(page_id=k, target_uri=f"http://h/{k}", record_type="response", record_id=f"r{k}", refers_to=None, payload_digest="X", payload_bytes=3000, payload=bytes([k]) * 3000) for k in range(5)]
-    (tmp_path / "f.warc").write_bytes(b"".join(warc.record_bytes(r) for r in rows))
-    with (tmp_path / "f.warc").open("rb") as f:
-        got = list(warc.records(f, False, lambda r: r["page_id"] in (1, 4)))
-    assert [(r["page_id"], r["payload"][:1], len(r["payload"])) for r in got] == [(1, b"\x01", 3000), (4, b"\x04", 3000)]
+
+@pytest.mark.parametrize("pack, name", [(lambda b: b, "f.warc"), (warc.member, "f.warc.gz"), (gzip.compress, "g.warc.gz")])
+def test_warc_reads_files(tmp_path, pack, name):
+    (tmp_path / name).write_bytes(b"".join(pack(record(k, bytes([k]) * 3000)) for k in range(5)))
+    for payload in (True, False):
+        with (tmp_path / name).open("rb") as f:
+            got = list(warc.records(f, name.endswith(".gz"), lambda r: r["page_id"] in (1, 4), payload))
+        assert [(r["page_id"], r["payload_bytes"], r["payload"]) for r in got] == [(k, 3000, bytes([k]) * 3000 if payload else None) for k in (1, 4)]
+    if name.endswith(".gz"):
+        assert len(gzip.decompress((tmp_path / name).read_bytes())) == sum(len(record(k, bytes(3000))) for k in range(5))
+        (tmp_path / name).write_bytes(gzip.compress(b"".join(record(k, bytes([k]) * 3000) for k in range(5))))  # all records in one member
+        with (tmp_path / name).open("rb") as f:
+            assert [r["page_id"] for r in warc.records(f, True, lambda r: r["page_id"] != 2)] == [0, 1, 3, 4]
+
+
+def test_warc_inflates_wanted_payloads_only(tmp_path):
+    rng = np.random.default_rng(1)
+    path = tmp_path / "f.warc.gz"
+    path.write_bytes(b"".join(warc.member(record(k, rng.integers(0, 256, 200_000).astype(np.uint8).tobytes(), "revisit" if k % 2 else "response")) for k in range(20)))
+    whole, some, none = {}, {}, {}
+    for tally, wanted, payload in ((whole, lambda r: True, True), (some, lambda r: r["page_id"] == 8, True), (none, lambda r: True, False)):
+        with path.open("rb") as f:
+            list(warc.records(f, True, wanted, payload, tally))
+    assert whole["inflated"] > 10 * 200_000 and some["inflated"] < 200_000 + 20 * 5000 and none["inflated"] < 20 * 5000
+
+
+@pytest.mark.parametrize("groups", [200_000, 0])
+def test_warc_record_ids(spark, tmp_path, monkeypatch, groups):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
+    pages = spark.createDataFrame([(9, "a", "x"), (9, "b", "x"), (9, "c", "y"), (10, "d", "x"), (None, "e", "x"), (None, "f", "z"), (None, "g", "z")], "page_id long, url string, html string")
+    rows = warc.round_trip(pages, str(tmp_path / "a")).collect()
+    ids = [r.record_id for r in rows]
+    assert len(rows) == 7 and len(set(ids)) == 7
+    assert collections.Counter((r.page_id, r.record_type, r.refers_to) for r in rows) == collections.Counter([(9, "response", None)] * 3 + [(10, "revisit", 9), (None, "revisit", 9)] + [(None, "response", None)] * 2)
+    assert all(warc.record_name(r.refers_to, r.payload_digest) in ids for r in rows if r.record_type == "revisit")
 
 
 def test_pipeline(spark, sf_dir):
