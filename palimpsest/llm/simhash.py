@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
 from palimpsest.llm.components import components
+from palimpsest.llm.shingles import BANDS, Words, min_keys, shingle_set, similar_links
 
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
+#: What near copies are where rows are dropped: words of a shingle, and Jaccard similarity of the shingle sets.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints sampled for the shard tree, and the most shards it may have.
 SAMPLE = 65536
 MAX_SHARDS = 4096
@@ -229,15 +232,41 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that head their group: one row of each group stays.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY, r: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that head their group: one row of each group stays, that with the smallest id.
 
-    Rows that share the group's smallest id are told apart by a row number, so
-    one of them stays.
+    Texts are linked if the sets of their shingles of ``shingle`` words have at
+    least the Jaccard similarity ``similarity``; every link is checked on whole
+    texts.  Candidates are the groups of the trees' links (fingerprints of such
+    shingles within ``r`` bits) and, as texts of that similarity differ in about
+    10 bits, where triangle bounds prune nothing, texts that share one of their
+    keys of least shingle hashes (a pair of similarity 0.8 shares none with
+    probability 3e-6).
+
+    A null or empty text has one shingle, the empty one.  Of rows that share the
+    group's smallest id one stays; a null id comes last.  Columns are carried,
+    whatever their names.
     """
     rows = written(docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")), "near-input")
-    the_id = F.col("row").getField(id_col)
-    ids = rows.select(F.struct(the_id.isNull().alias("none"), the_id.alias("id"), "at").alias("doc_id"), F.col("row").getField(text_col).alias("text"))
-    fps = written(fingerprints(ids), "doc-fingerprints")
-    heads = near_groups(fps).where("doc_id = component_id").select("doc_id.at")
-    return rows.join(heads, "at", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    the_id, texts = F.col("row").getField(id_col), rows.select("at", F.col("row").getField(text_col).alias("text"))
+
+    def run(batches):
+        cache = Words()
+        for batch in batches:
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t, shingle, cache) for t in raw]
+            fps = np.fromiter((fingerprint_of(t.lower().split(), shingle) if t else 0 for t in raw), dtype=np.uint64, count=len(raw))
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([min_keys(s) for s in sets]) if sets else np.empty(0, np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), keys], names=["at", "n", "fp", "keys"])
+
+    sketch = written(texts.mapInArrow(run, "at long, n long, fp long, keys array<long>"), "sketches")
+    distinct = sketch.select("fp").distinct()
+    near = components(links(written(distinct, "fingerprints"), r))
+    by_tree = sketch.join(near, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("key"), "at")
+    keyed = by_tree.union(sketch.select(F.explode("keys").alias("key"), "at"))
+    roots = written(similar_links(texts, sketch.select("at", "n"), keyed, shingle, similarity), "near-groups")
+    ids = rows.select("at", F.struct(the_id.isNull().alias("none"), the_id.alias("id"), "at").alias("order"))
+    member = roots.withColumnsRenamed({"node": "at"}).union(roots.select(F.col("root").alias("at"), "root").distinct()).join(ids, "at")
+    first = member.groupBy("root").agg(F.min("order").alias("first"))
+    gone = written(member.join(first, "root").where("order != first").select("at"), "near-copies")
+    return rows.join(gone, "at", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import exact_dedup, similar, simhash, suffix_dedup
+from palimpsest.llm import exact_dedup, shingles, simhash, suffix_dedup
 from palimpsest.llm.components import components
 from palimpsest.llm.suffix_sort import SuffixSorter
 from tests.llm.data import ROWS, documents, empty
@@ -113,8 +113,17 @@ def test_simhash(spark):
                 assert got[a] == got[b]
     assert got[2] == 1 and got[5] == 4 and got[6] == 4 and got[None] is None
     assert simhash.near_groups(simhash.fingerprints(empty(spark))).count() == 0
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len({(c, None) for c in got.values()})
+
+
+def test_simhash_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 2500).astype(np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
+    fps = np.concatenate((base, flip(base[:700]), flip(flip(base[:400]))))
+    head = brute_groups(fps, 2)
+    rows = spark.createDataFrame([(k, int(f)) for k, f in enumerate(fps.view(np.int64))], "doc_id long, fp long")
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(rows).collect()} == dict(enumerate(head.tolist()))
 
 
 def brute_groups(fps, r):
@@ -182,3 +191,17 @@ def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     kept = stage(spark, documents(spark), None)
     assert kept.columns == documents(spark).columns
     assert kept.count() == len(brute_heads([(k, r[1]) for k, r in enumerate(ROWS)])) and stage(spark, empty(spark), None).count() == 0
+
+
+def test_near_copies_of_a_hot_key(spark, monkeypatch):
+    """Texts of several groups that share keys: heads of rounds find what all pairs find."""
+    monkeypatch.setattr(shingles, "HEADS", 8)
+    rng, rows = np.random.default_rng(9), []
+    base = [f"w{n}" for n in range(60)]
+    for k in range(36):
+        words = list(base)
+        for at in rng.choice(np.arange(4, 56, 5), int(rng.integers(0, 4)), replace=False):
+            words[at] = f"x{rng.integers(3)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(brute_heads(rows))
