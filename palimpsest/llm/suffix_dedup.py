@@ -4,24 +4,25 @@ Shards.  Every window of LENGTH bytes has one anchor, the leftmost least hash of
 its ``GRAM``-byte strings, so equal windows have equal anchors at equal offsets.
 Windows in a row with one anchor make a segment.  Only anchors that recur
 anywhere are kept (a Bloom filter of fixed size thins them early; a join
-decides).  Segments that are equal as a whole are counted before anything is
-gathered: all their windows are repeated, and one of them stands for the others.
-Where an anchor has unlike segments, one of each goes to the anchor's shard.
+decides).  Segments that are equal as a whole (128-bit BLAKE2 of their bytes) are
+counted before anything is gathered: all their windows are repeated, and one of
+them stands for the others.  Where an anchor has unlike segments, one of each
+goes to the anchor's shard.
 
 Sorting.  A shard's segments are sorted by external induced sorting with
 common-prefix values (``suffix_sort``); suffixes that share LENGTH bytes with a
 neighbour are repeated windows.  A task cuts what it gets into shards of about
-``SHARD_BYTES`` by anchor, through files of its scratch folder if it is much more.
+``SHARD_BYTES`` by anchor, through files of its scratch folder if it is much
+more; the sorter's queues hold a quarter of a shard's bytes and are on disk beyond.
 
 An anchor with more than ``HOT_SEGMENTS`` unlike segments would make one large
-shard; its windows are counted by 128-bit hash instead, in a shuffle that
-combines equal windows before it.
+shard.  Its segments are dealt again, as texts of their own, with anchors of
+another hash: about one window in a hundred then has the same anchor again.
 
 Defined cases: a null text is empty: 0 bytes, nothing removed; texts shorter than
 LENGTH lose nothing; rows repeated in ``docs`` count as further occurrences; a
-null id is an id like another; an empty table gives an empty result.  Other
-columns are ignored.  Equal segments are told by 64-bit hashes of the anchor and
-of the segment together.
+null id is an id like another; an empty table gives an empty result.  Very long
+texts are read in one piece.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import discard, written
 from palimpsest.llm.suffix_sort import SEPARATOR, SuffixSorter
 
 LENGTH = 200
@@ -45,11 +46,13 @@ BUFFER_BYTES = 1 << 18
 BLOOM_BITS = 26
 SHARD_BYTES = 2 << 20
 HOT_SEGMENTS = 4096
+#: A segment with more than this part of all occurrences has its marks joined by broadcast: at most HOT_PARTS of them.
+HOT_PARTS = 1000
 
-# Odd bases of the rolling hashes, and finishing multipliers.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+# Odd base of the rolling hash, and a finishing multiplier.
+_BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
-_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (101, 202)]
+_TABLE = np.random.default_rng(101).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,29 +61,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a buffer, from prefix sums of a polynomial."""
+    """Hashes of any stretch of a buffer, from prefix sums of a polynomial; ``level`` gives another order of them."""
 
-    def __init__(self):
-        self.size = 0
+    def __init__(self, level: int = 0):
+        self.size, self.salt = 0, np.uint64(level) * _MIX
 
     def _grow(self, n: int) -> None:
         if n >= self.size:
             self.size = max(n + 1, BUFFER_BYTES + 65536)
-            self.powers, self.inverse = [], []
-            for base in _BASES:
-                for out, b in ((self.powers, base), (self.inverse, pow(base, -1, 1 << 64))):
-                    x = np.full(self.size, b, dtype=np.uint64)
-                    x[0] = 1
-                    out.append(np.cumprod(x))
-
-    def prefix(self, data: np.ndarray, k: int = 0) -> np.ndarray:
+            self.powers, self.inverse = (np.full(self.size, b, dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            for x in (self.powers, self.inverse):
+                x[0] = 1
+                np.cumprod(x, out=x)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLES[k][data] * self.powers[k][:len(data)], out=out[1:])
+        np.cumsum(_TABLE[data] * self.powers[:len(data)], out=out[1:])
         return out
 
-    def span(self, prefix: np.ndarray, start, stop, k: int = 0) -> np.ndarray:
-        return (prefix[stop] - prefix[start]) * self.inverse[k][start]
+    def span(self, prefix: np.ndarray, start, stop) -> np.ndarray:
+        return (prefix[stop] - prefix[start]) * self.inverse[start]
 
 
 def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,13 +98,13 @@ def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(texts: list[bytes], rolling: Rolling, length: int = LENGTH, gram: int = GRAM):
-    """(text, first window, windows, anchor hash, segment hash) of all segments of some texts."""
+    """(text, first window, windows, anchor hash) of all segments of some texts."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(data) < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     prefix = rolling.prefix(data)
-    grams = _mix(rolling.span(prefix, slice(0, len(data) - gram + 1), slice(gram, None)))
+    grams = _mix(rolling.span(prefix, slice(0, len(data) - gram + 1), slice(gram, None)) ^ rolling.salt)
     anchor = _leftmost_least(grams, length - gram + 1)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)[:len(anchor)]
@@ -114,9 +115,7 @@ def segments_of(texts: list[bytes], rolling: Rolling, length: int = LENGTH, gram
     count = np.diff(np.append(first, len(anchor)))
     real = anchor[first] >= 0
     first, count = first[real], count[real]
-    a = anchor[first]
-    seg = _mix(rolling.span(prefix, first, first + count - 1 + length) + ((a - first) * 1024 + count).astype(np.uint64) * _MIX)
-    return owner[first], first - (ends - sizes)[owner[first]], count, grams[a], seg
+    return owner[first], first - (ends - sizes)[owner[first]], count, grams[anchor[first]]
 
 
 def _buffers(texts: list[bytes]):
@@ -139,6 +138,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.hash("doc_id", text).alias("k2"), text.cast("binary").alias("text"))
 
 
+def _digests(texts: list[bytes], doc: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """128-bit digests of segments, as two numbers each."""
+    digest = hashlib.blake2b
+    joined = b"".join(digest(texts[d][a:a + n - 1 + length], digest_size=16).digest() for d, a, n in zip(doc.tolist(), start.tolist(), windows.tolist()))
+    return np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
+
+
 def _packed(keyed: DataFrame) -> DataFrame:
     """The texts compressed, for the shuffle."""
 
@@ -159,9 +165,9 @@ def _unpacker():
     return lambda blob: z.decompress(blob, max_output_size=1 << 31) if blob else b""
 
 
-def _recurring(keyed: DataFrame, length: int) -> DataFrame:
+def _recurring(keyed: DataFrame, length: int, level: int) -> DataFrame:
     def run(batches):
-        rolling = Rolling()
+        rolling = Rolling(level)
         for b in batches:
             for _, texts in _buffers(b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(segments_of(texts, rolling, length)[3].view(np.int64))], names=["h"])
@@ -180,22 +186,23 @@ def _bloom(recurring: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _anchors(keyed: DataFrame, recurring: DataFrame, length: int) -> DataFrame:
+def _anchors(keyed: DataFrame, recurring: DataFrame, length: int, level: int) -> DataFrame:
     bits = keyed.sparkSession.sparkContext.broadcast(_bloom(recurring))
 
     def run(batches):
-        rolling, known = Rolling(), bits.value
+        rolling, known = Rolling(level), bits.value
         for b in batches:
             for start, texts in _buffers(b.column(2).to_pylist()):
-                doc, first, count, h, seg = segments_of(texts, rolling, length)
+                doc, first, count, h = segments_of(texts, rolling, length)
                 one, two = _bloom_words(h)
                 keep = (known[one >> 3] >> (one & 7)) & (known[two >> 3] >> (two & 7)) & 1 > 0
-                at = pa.array(doc[keep] + start)
+                doc, first, count = doc[keep], first[keep], count[keep]
+                at, seg = pa.array(doc + start), _digests(texts, doc, first, count, length)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(at), b.column(1).take(at), pa.array(first[keep].astype(np.int32)), pa.array(count[keep].astype(np.int32)),
-                    pa.array(h[keep].view(np.int64)), pa.array(seg[keep].view(np.int64))], names=["doc_id", "k2", "start", "windows", "h", "seg"])
+                    b.column(0).take(at), b.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
+                    pa.array(h[keep].view(np.int64)), pa.array(seg[:, 0]), pa.array(seg[:, 1])], names=["doc_id", "k2", "start", "windows", "h", "seg", "seg2"])
 
-    return keyed.mapInArrow(run, T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], *[T.StructField(n, T.IntegerType()) for n in ("start", "windows")], *[T.StructField(n, T.LongType()) for n in ("h", "seg")]]))
+    return keyed.mapInArrow(run, T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], *[T.StructField(n, T.IntegerType()) for n in ("start", "windows")], *[T.StructField(n, T.LongType()) for n in ("h", "seg", "seg2")]]))
 
 
 def _flagged_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +214,7 @@ def sort_shard(segments: list[bytes], scratch: str, length: int = LENGTH):
     """(segment, first window, windows) of the runs of windows that recur among the segments."""
     table = ((254 - np.arange(256)) % 256).astype(np.uint8)  # fixed value: bytes 0xF8 to 0xFF are in no UTF-8 text, so 0 is free
     text = table[np.frombuffer(b"\xfe".join(segments) + b"\xfe", dtype=np.uint8)]
-    shared = SuffixSorter(text, scratch, length).run()
+    shared = SuffixSorter(text, scratch, length, max(1 << 10, len(text) // 4)).run()
     sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)) + 1
     begin = np.cumsum(sizes) - sizes
     start, count = _flagged_runs(shared)
@@ -264,27 +271,11 @@ def _sort(segments: DataFrame, length: int, shards: int) -> DataFrame:
     return segments.repartition(shards, "h").mapInArrow(run, schema)
 
 
-def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
-    """Marks of the windows of hot anchors, by counting 128-bit hashes of whole windows."""
-    fields = [segments.schema["doc_id"], segments.schema["k2"], T.StructField("start", T.IntegerType()), T.StructField("single", T.BooleanType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())]
-
-    def run(batches):
-        rolling = Rolling()
-        for b in batches:
-            starts, singles = b.column("start").to_pylist(), b.column("single").to_pylist()
-            out: list[list] = [[] for _ in range(5)]
-            for k, (text, n) in enumerate(zip(b.column("text").to_pylist(), b.column("windows").to_pylist())):
-                data = np.frombuffer(text, dtype=np.uint8)
-                w = [rolling.span(rolling.prefix(data, x), slice(0, n), slice(length, length + n), x) for x in (0, 1)]
-                for column, value in zip(out, (np.full(n, k), starts[k] + np.arange(n), np.full(n, singles[k]), *w)):
-                    column.append(value)
-            if starts:
-                at, start, single, w1, w2 = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("k2").take(pa.array(at)), pa.array(start.astype(np.int32)), pa.array(single), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=[f.name for f in fields])
-
-    windows = segments.mapInArrow(run, T.StructType(fields))
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return windows.where("single").join(again, ["w1", "w2"], "left_semi").select("doc_id", "k2", "start", F.lit(1).cast("int").alias("windows"))
+def _dealt_again(hot: DataFrame, length: int, level: int) -> DataFrame:
+    """Marks of the windows of hot anchors' segments, each taken as a text, by anchors of the next level."""
+    again = hot.select(F.struct("doc_id", "k2", "start", "single").alias("doc_id"), F.lit(0).alias("k2"), "text")
+    marks = _repeated(again, length, level + 1).where("doc_id.single")
+    return marks.select("doc_id.doc_id", "doc_id.k2", (F.col("doc_id.start") + F.col("start")).cast("int").alias("start"), "windows")
 
 
 def _segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -309,21 +300,28 @@ def _segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFram
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k2, start, windows): runs of windows of ``length`` bytes that also start elsewhere."""
-    keyed = _keyed(docs)
-    recurring = written(_recurring(keyed, length), "anchors")
-    anchors = written(_anchors(keyed, recurring, length), "segments")
+    return _repeated(_keyed(docs), length, 0)
+
+
+def _repeated(keyed: DataFrame, length: int, level: int) -> DataFrame:
+    recurring = written(_recurring(keyed, length, level), "anchors")
+    anchors = written(_anchors(keyed, recurring, length, level), "segments")
+    discard(recurring)
     # Per unlike segment: how often it occurs, and one occurrence of it.
-    each = anchors.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2", "start", "windows")).alias("one"))
+    each = anchors.groupBy("h", "seg", "seg2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2", "start", "windows")).alias("one"))
     per_anchor = each.groupBy(F.col("h").alias("a")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unlike")).where("total > 1")
-    groups = written(each.join(per_anchor, F.col("h") == F.col("a")).select("h", "seg", "n", "unlike", "one"), "groups")
-    whole = anchors.join(groups.where("n > 1").select("h", "seg"), ["h", "seg"], "left_semi").select("doc_id", "k2", "start", "windows")
+    groups = written(each.join(per_anchor, F.col("h") == F.col("a")).select("h", "seg", "seg2", "n", "unlike", "one"), "groups")
+    # Occurrences of segments that recur as a whole; the most frequent ones, at most HOT_PARTS, without a shuffle.
+    key, often = ["h", "seg", "seg2"], F.col("n") * HOT_PARTS > anchors.count()
+    common = F.broadcast(groups.where((F.col("n") > 1) & often).select(*key))
+    whole = anchors.join(common, key, "left_semi").unionByName(anchors.join(common, key, "left_anti").join(groups.where((F.col("n") > 1) & ~often).select(*key), key, "left_semi")).select("doc_id", "k2", "start", "windows")
     wanted = groups.where("unlike > 1").select("one.*", "h", (F.col("n") == 1).alias("single"), (F.col("unlike") > HOT_SEGMENTS).alias("hot"))
     facts = wanted.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0)).alias("bytes"), F.count_if("hot").alias("hot")).first()
     if not facts.bytes:
         return whole
     texts = written(_segment_texts(keyed, wanted, length), "segment-texts")
-    marks = whole.unionByName(_sort(texts.where("NOT hot"), length, max(1, -(-facts.bytes // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism)))
-    return marks.unionByName(_hot_windows(texts.where("hot"), length)) if facts.hot else marks
+    marks = whole.unionByName(_sort(texts.where("NOT hot"), length, max(1, -(-facts.bytes // SHARD_BYTES), keyed.sparkSession.sparkContext.defaultParallelism)))
+    return marks.unionByName(_dealt_again(texts.where("hot"), length, level)) if facts.hot else marks
 
 
 def cut(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:

@@ -10,59 +10,78 @@ first bytes: a batch leaves the queue in order, and the suffixes one byte longer
 join the queue of their byte, each with the common-prefix value to the one
 before it there, which is one more than the least value passed in between.
 
-Queues hold (position, common prefix) tuples; what goes beyond ``memory`` bytes
-is appended to files of the task's scratch folder, which are removed with it.
-Values are capped at ``depth``: only whether a prefix is shared that far matters.
+Queues hold (position, common prefix) tuples; once they hold ``memory`` bytes,
+all of them go to one file of the task's scratch folder, and come back at most
+``CHUNK`` tuples at a time.  The L suffixes wait for the second pass in another
+such queue.  The text and what belongs to each of its positions are mapped
+files.  In memory are the local minima (about a third of the positions) while
+they are ranked.  Values are capped at ``depth``: only whether a prefix is shared
+that far matters.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from collections import deque
 
 import numpy as np
 
 SEPARATOR = 0
 
 
+#: Tuples that leave a queue at once.
+CHUNK = 1 << 16
+
+
 class BucketQueue:
-    """FIFO queues of (position, common prefix) for each first byte, on disk beyond a limit."""
+    """FIFO queues of (position, common prefix) for each first byte; beyond ``memory`` bytes they go to a file."""
 
     def __init__(self, scratch: str, memory: int):
-        self.scratch, self.memory, self.held, self.serial = scratch, memory, 0, 0
-        self.parts: list[list] = [[] for _ in range(256)]
+        self.path, self.memory, self.held, self.spills = os.path.join(scratch, f"q{uuid.uuid4().hex}"), memory, 0, 0
+        self.file, self.end = None, 0
+        self.parts: list[deque] = [deque() for _ in range(256)]  # arrays, or (offset, tuples) of the file
 
     def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts[c].append((pos, lcp))
-        self.held += pos.nbytes + lcp.nbytes
+        for k in range(0, len(pos), CHUNK):
+            self.parts[c].append((pos[k:k + CHUNK].astype(np.int32), lcp[k:k + CHUNK].astype(np.uint8)))
+        self.held += 5 * len(pos)
         if self.held > self.memory:
             self._spill()
 
     def _spill(self) -> None:
-        for c, parts in enumerate(self.parts):
-            for k, part in enumerate(parts):
-                if isinstance(part, tuple) and len(part[0]) >= 1024:
-                    name = os.path.join(self.scratch, f"q{self.serial}.npz")
-                    self.serial += 1
-                    with open(name, "wb") as f:
-                        np.savez(f, pos=part[0], lcp=part[1])
-                    self.held -= part[0].nbytes + part[1].nbytes
-                    parts[k] = name
-        self.memory = max(self.memory, 2 * self.held)  # what is too small to spill stays
-
-    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray] | None:
-        parts, self.parts[c] = self.parts[c], []
-        if not parts:
-            return None
-        got = []
-        for part in parts:
-            if isinstance(part, tuple):
-                self.held -= part[0].nbytes + part[1].nbytes
-                got.append(part)
-            else:
-                with np.load(part) as z:
-                    got.append((z["pos"], z["lcp"]))
-                os.remove(part)
-        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        if self.file is None:
+            self.file = open(self.path, "w+b")
+        self.file.seek(self.end)
+        for parts in self.parts:
+            for k, (first, second) in enumerate(parts):
+                if isinstance(first, np.ndarray):
+                    self.file.write(first.tobytes())
+                    self.file.write(second.tobytes())
+                    parts[k] = (self.end, len(first))
+                    self.end += 5 * len(first)
+        self.held, self.spills = 0, self.spills + 1
+
+    def _load(self, first, second) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(first, np.ndarray):
+            self.held -= 5 * len(first)
+            return first.astype(np.int64), second
+        self.file.seek(first)
+        data = self.file.read(5 * second)
+        return np.frombuffer(data, dtype=np.int32, count=second).astype(np.int64), np.frombuffer(data, dtype=np.uint8, offset=4 * second).copy()
+
+    def pop(self, c: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The first tuples of a queue, at most about CHUNK (one part more); with ``last``, the part at its end."""
+        parts, got, n = self.parts[c], [], 0
+        while parts and (not n or (not last and n < CHUNK)):
+            got.append(self._load(*(parts.pop() if last else parts.popleft())))
+            n += len(got[-1][0])
+        return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else None
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            os.remove(self.path)
 
 
 class _Minimum:
@@ -90,21 +109,38 @@ class _Minimum:
 class SuffixSorter:
     """Sorts the suffixes of ``text`` (uint8, segments ended by SEPARATOR, no other zero)."""
 
-    def __init__(self, text: np.ndarray, scratch: str, depth: int = 200, memory: int = 256 << 20):
-        self.t, self.depth, self.queue_args = text, depth, (scratch, memory)
+    def __init__(self, text: np.ndarray, scratch: str, depth: int = 200, memory: int = 1 << 20):
         n = len(text)
-        padded = np.concatenate((text, np.zeros(depth + 16, dtype=np.uint8)))
-        self.words = np.ndarray(shape=(n + depth + 8,), dtype="<u8", buffer=padded.data, strides=(1,))
-        ends = np.flatnonzero(text == SEPARATOR)
-        self.ends = ends
-        self.left = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)  # bytes before the separator
-        step = np.zeros(n, dtype=np.int8)
-        step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-        step[ends] = 1
-        at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
-        at = np.minimum.accumulate(at[::-1])[::-1]
-        self.s_type = step[np.minimum(at, n - 1)] > 0
-        self.shared = np.zeros(n, dtype=bool)
+        self.depth, self.queue_args, self.scratch, self.spills = depth, (scratch, memory), scratch, 0
+        padded = self._mapped("text", n + depth + 16, np.uint8)
+        padded[:n] = text
+        self.t = padded[:n]
+        self.words = np.ndarray(shape=(n + depth + 8,), dtype="<u8", buffer=padded, strides=(1,))
+        self.ends = ends = np.flatnonzero(self.t == SEPARATOR)
+        self.left = self._mapped("left", n, np.int32)  # bytes before the separator
+        self.s_type, self.shared = self._mapped("type", n, np.bool_), self._mapped("shared", n, np.bool_)
+        # Segment by segment, from whole segments of about CHUNK bytes.
+        cuts, begin = np.concatenate(([0], ends + 1)), 0
+        while begin < len(ends):
+            stop = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + CHUNK, "right")) - 1)
+            a, b = int(cuts[begin]), int(cuts[stop])
+            own, size = ends[begin:stop] - a, b - a
+            t = np.asarray(self.t[a:b])
+            self.left[a:b] = np.repeat(own, np.diff(own, prepend=-1)) - np.arange(size)
+            step = np.zeros(size, dtype=np.int8)
+            step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
+            step[own] = 1
+            at = np.where(step != 0, np.arange(size, dtype=np.int32), np.int32(size))
+            at = np.minimum.accumulate(at[::-1])[::-1]
+            self.s_type[a:b] = step[np.minimum(at, size - 1)] > 0
+            begin = stop
+
+    def _mapped(self, name: str, n: int, kind) -> np.ndarray:
+        """A file of the scratch folder as an array of zeros; the file is gone with the array."""
+        path = os.path.join(self.scratch, f"{name}{uuid.uuid4().hex}")
+        out = np.memmap(path, dtype=kind, mode="w+", shape=(max(1, n),))
+        os.unlink(path)
+        return out[:n]
 
     # Common prefixes by comparison: for local minima and for the seams of batches.
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,11 +220,13 @@ class SuffixSorter:
             step *= 2
         return pos[np.argsort(rank, kind="stable")]
 
-    def _induce(self, seeds, wanted_type: bool, order) -> list:
-        """Runs one pass; ``seeds`` maps a byte to (positions, common prefixes) emitted after the byte's queue."""
-        queue = BucketQueue(*self.queue_args)
+    def _induce(self, seeds, wanted_type: bool, order, keep: bool) -> BucketQueue:
+        """Runs one pass; ``seeds`` maps a byte to batches (positions, common prefixes) emitted after the byte's queue.
+
+        With ``keep`` the queue of what was emitted from queues is returned, else an empty one.
+        """
+        queue, out = BucketQueue(*self.queue_args), BucketQueue(*self.queue_args)
         since = np.zeros(256, dtype=np.int64)  # least value since the queue's last tuple
-        out: list = [None] * 256
         cap = self.depth
 
         def emit(pos, lcp, last):
@@ -231,17 +269,20 @@ class SuffixSorter:
                 queue.push(ch, pos[at[a:b]] - 1, value[a:b])
 
         for c in order:
-            last, mine = -1, []
+            last = -1
             while (batch := queue.pop(c)) is not None:
                 pos, lcp = batch
-                mine.append(batch)
+                if keep:
+                    out.push(c, pos, lcp)
+                emit(pos, lcp, last)
+                last = int(pos[-1])
+            for pos, lcp in seeds(c):
                 emit(pos, lcp, last)
                 last = int(pos[-1])
-            if (seed := seeds(c)) is not None and len(seed[0]):
-                emit(seed[0], seed[1], last)
-            out[c] = (np.concatenate([p for p, _ in mine]), np.concatenate([v for _, v in mine])) if mine else None
             # Between bytes nothing is common.
             since[:] = 0
+        self.spills += queue.spills + out.spills
+        queue.close()
         return out
 
     def run(self) -> np.ndarray:
@@ -249,25 +290,27 @@ class SuffixSorter:
         if not len(self.t):
             return self.shared
         star = self._minima()
-        lcp = np.zeros(len(star), dtype=np.int64)
-        lcp[1:] = self.common(star[:-1], star[1:])
-        lcp = np.minimum(lcp, self.depth).astype(np.uint8)
+        lcp = np.zeros(len(star), dtype=np.uint8)
+        for k in range(1, len(star), CHUNK):
+            stop = min(len(star), k + CHUNK)
+            lcp[k:stop] = self.common(star[k - 1:stop - 1], star[k:stop])
         first = self.t[star]
         cuts = np.searchsorted(first, np.arange(257))
 
         def minima(c):
-            a, b = cuts[c], cuts[c + 1]
-            return (star[a:b], lcp[a:b].copy()) if b > a else None
+            for a in range(cuts[c], cuts[c + 1], CHUNK):
+                b = min(cuts[c + 1], a + CHUNK)
+                yield star[a:b].astype(np.int64), lcp[a:b].copy()
 
-        descending = self._induce(minima, False, range(256))
+        descending = self._induce(minima, False, range(256), True)
 
         def reverse(c):
-            if descending[c] is None:
-                return None
-            pos, v = descending[c]
-            back = np.zeros(len(v), dtype=np.uint8)
-            back[1:] = v[:0:-1]
-            return pos[::-1], back
-
-        self._induce(reverse, True, range(255, -1, -1))
-        return self.shared
+            while (batch := descending.pop(c, last=True)) is not None:
+                pos, v = batch
+                back = np.zeros(len(v), dtype=np.uint8)  # the first one of a batch is compared anew
+                back[1:] = v[:0:-1]
+                yield pos[::-1], back
+
+        self._induce(reverse, True, range(255, -1, -1), False)
+        descending.close()
+        return np.asarray(self.shared)

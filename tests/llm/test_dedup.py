@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import exact_dedup, shingles, simhash, suffix_dedup
+from palimpsest.llm import exact_dedup, shingles, simhash, suffix_dedup, suffix_sort
 from palimpsest.llm.components import components
 from palimpsest.llm.suffix_sort import SuffixSorter
 from tests.llm.data import ROWS, documents, empty
@@ -22,8 +22,9 @@ def brute_shared(segments, depth):
     return np.array([f for s in segments for f in [i + depth <= len(s) and seen[s[i:i + depth]] > 1 for i in range(len(s))] + [False]])
 
 
-@pytest.mark.parametrize("memory", [100, 1 << 20])
-def test_suffix_sorter(memory):
+@pytest.mark.parametrize("memory, chunk", [(100, 1 << 16), (100, 16), (3000, 64), (1 << 20, 1 << 16)])
+def test_suffix_sorter(monkeypatch, memory, chunk):
+    monkeypatch.setattr(suffix_sort, "CHUNK", chunk)
     rng = np.random.default_rng(memory)
     for _ in range(60):
         depth, letters = int(rng.choice([1, 3, 8, 9, 17, 20])), int(rng.choice([1, 2, 3, 26]))
@@ -34,6 +35,15 @@ def test_suffix_sorter(memory):
             assert np.array_equal(SuffixSorter(text, scratch, depth, memory).run(), brute_shared(segments, depth))
 
 
+def test_suffix_sorter_beyond_its_memory(tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(97, 123, 120_000).astype(np.uint8).tobytes()
+    segments = [base[k:k + int(rng.integers(200, 400))] for k in rng.integers(0, len(base) - 400, 1200)]
+    text = np.concatenate([np.concatenate((254 - np.frombuffer(s, np.uint8), [0])) for s in segments]).astype(np.uint8)
+    sorter = SuffixSorter(text, str(tmp_path), 200, 5 * len(text) // 20)  # a twentieth of the tuples
+    assert np.array_equal(sorter.run(), brute_shared(segments, 200)) and sorter.spills > 5 and not list(tmp_path.iterdir())
+
+
 def brute_removed(texts, n=200):
     seen = collections.Counter(b[i:i + n] for b in texts for i in range(len(b) - n + 1))
     out = []
@@ -48,20 +58,31 @@ def brute_removed(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
-    want = collections.Counter((r[0], *w) for r, w in zip(ROWS, brute_removed([(r[1] or "").encode() for r in ROWS])))
-    rows = suffix_dedup.remove_repeats(documents(spark)).collect()
-    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+def removed(df):
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+
+
+def test_suffix_dedup(spark):
+    assert removed(documents(spark)) == collections.Counter((r[0], *w) for r, w in zip(ROWS, brute_removed([(r[1] or "").encode() for r in ROWS])))
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
+    """A phrase in many contexts, some of them shared: its anchor's segments are dealt again by another hash."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 12)
+    rng = np.random.default_rng(6)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    phrase, sides = noise(150), [noise(120) for _ in range(4)]
+    texts = [noise(100) + sides[k % 4] * (k % 3 == 0) + phrase + sides[k % 5 % 4] * (k % 2) + noise(100) for k in range(60)]
+    levels, dealt = [], suffix_dedup._dealt_again
+    monkeypatch.setattr(suffix_dedup, "_dealt_again", lambda hot, length, level: levels.append(level) or dealt(hot, length, level))
+    got = removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == collections.Counter((k, *w) for k, w in enumerate(brute_removed([t.encode() for t in texts]))) and 0 in levels
+
+
 def test_suffix_dedup_of_spooled_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 200)
-    want = collections.Counter((r[0], *w) for r, w in zip(ROWS, brute_removed([(r[1] or "").encode() for r in ROWS])))
-    rows = suffix_dedup.remove_repeats(documents(spark)).collect()
-    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+    assert removed(documents(spark)) == collections.Counter((r[0], *w) for r, w in zip(ROWS, brute_removed([(r[1] or "").encode() for r in ROWS])))
 
 
 def norm(t):
