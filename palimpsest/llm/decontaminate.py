@@ -10,7 +10,9 @@ compared: along an alignment, each value of the item must stand for one value
 of the document, and windows that break this do not count.  Alignments are tried
 from the one with the most windows until one is consistent, so an item is also
 found beside other instances of its template.  So questions with other numbers
-or names, used consistently, are caught.
+or names, used consistently, are caught.  Where a document has some of the
+items' windows, runs of names and of number words ("Mary Jane", "twenty five")
+are taken as one slot in a second comparison.
 
 The benchmark is the stated query set: its windows are broadcast in blocks of
 items with at most ``BLOCK_WINDOWS`` windows each, one pass over the documents
@@ -18,8 +20,10 @@ per block.  Everything about one document is decided in its own row: nothing is
 shuffled.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer
-tokens than a window matches a document whose whole token sequence equals it;
-repeated rows of ``docs`` and repeated items give a row each; columns beyond the
+tokens than a window (in Chinese, Japanese and Thai every character is a token)
+matches only a document whose whole token sequence equals it, as a few words
+alone are in many clean texts; several copies of an item in a document are one
+match, at the first consistent place; repeated rows of ``docs`` and repeated items give a row each; columns beyond the
 id and text are ignored or carried, whatever their names.
 """
 
@@ -44,14 +48,16 @@ BLOCK_WINDOWS = 500_000
 UNITS = frozenset("mm cm m km in inch inches ft feet foot yard yards mile miles g kg mg gram grams lb lbs pound pounds oz ounce ounces l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh hz khz mhz ghz kb mb gb tb w kw v volt volts degree degrees".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?\n]")
-NUMBER, UNIT, NAME, BREAK = 1, 2, 4, 8
+#: Fixed value: characters of scripts without spaces between words (Thai, kana, Han).
+UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d{UNSPACED}]+|[{UNSPACED}]|[.!?\n]")
+NUMBER, UNIT, NAME, BREAK, SPELT = 1, 2, 4, 8, 16
 _SLOT = {NUMBER: 0x1234567, UNIT: 0x2345678, NAME: 0x3456789}
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 
 
 class Tokens(dict):
-    """Token to hash << 4 | what it may be; bounded."""
+    """Token to hash << 5 | what it may be; bounded."""
 
     limit = 400_000
 
@@ -62,24 +68,27 @@ class Tokens(dict):
         if token in ".!?\n":
             flags = BREAK
         elif token[0].isdigit() or low in NUMBERS:
-            flags = NUMBER
+            flags = NUMBER | (0 if token[0].isdigit() else SPELT)
         else:
             flags = (UNIT if low in UNITS else 0) | (NAME if len(token) > 1 and token[0].isupper() and token[1:].islower() else 0)
-        code = self[token] = (xxhash.xxh64_intdigest(low.encode(), 3) >> 5 << 4) | flags
+        code = self[token] = (xxhash.xxh64_intdigest(low.encode(), 3) >> 6 << 5) | flags
         return code
 
 
-def canonical(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(plain codes, template codes, slot kind or 0) of the tokens of one text."""
+def canonical(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(plain codes, template codes, slot kind or 0, run) of the tokens of one text.
+
+    ``run`` is NAME or SPELT where a token is a name or a number word, else 0.
+    """
     get = cache.__getitem__
     found = TOKEN.findall(text) if text else []
     codes = np.fromiter(map(get, found), dtype=np.int64, count=len(found))
-    flags = codes & 15
+    flags = codes & 31
     is_break = flags == BREAK
     opens = np.ones(len(codes), dtype=bool)
     opens[1:] = is_break[:-1]
     words = ~is_break
-    codes, flags, opens = codes[words] >> 4, flags[words], opens[words]
+    codes, flags, opens = codes[words] >> 5, flags[words], opens[words]
     number = flags & NUMBER > 0
     unit = np.zeros(len(codes), dtype=bool)
     unit[1:] = (flags[1:] & UNIT > 0) & number[:-1]
@@ -88,7 +97,21 @@ def canonical(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray,
     template = codes.copy()
     for k, code in _SLOT.items():
         template[kind == k] = code
-    return codes, template, kind
+    return codes, template, kind, np.where(name, NAME, flags & SPELT)
+
+
+def merged(codes, template, kind, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(plain codes, template codes, slot kind) with each run of names, or of number words, as one token."""
+    first = np.ones(len(codes), dtype=bool)
+    first[1:] = (run[1:] == 0) | (run[1:] != run[:-1])
+    if first.all():
+        return codes, template, kind
+    at = np.flatnonzero(first)
+    place = np.arange(len(codes)) - np.repeat(at, np.diff(np.append(at, len(codes))))
+    # A run's code depends on all its tokens, in order; one token keeps its own.
+    mixed = (codes.astype(np.uint64) * _POWERS[place % len(_POWERS)] >> np.uint64(6)).astype(np.int64)
+    joined = np.add.reduceat(np.where(place > 0, mixed, codes), at) & ((1 << 58) - 1)
+    return joined, template[at], kind[at]
 
 
 def window_hashes(codes: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -102,13 +125,14 @@ def window_hashes(codes: np.ndarray, size: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """Windows of some items: sorted hashes, with item and place of each."""
+    """Windows of some items: sorted hashes, with item and place of each; ``runs`` merges runs in them."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], runs: bool = False):
         cache, hashes, owner, place = Tokens(), [], [], []
-        self.items, self.short = [], {}
+        self.items, self.short, self.of_runs = [], {}, None if runs else Index(items, True)
         for item_id, text in items:
-            codes, template, kind = canonical(text, cache)
+            found = canonical(text, cache)
+            codes, template, kind = merged(*found) if runs else found[:3]
             if len(codes) < WINDOW:
                 if len(codes):
                     self.short.setdefault(codes.tobytes(), []).append(item_id)
@@ -137,23 +161,27 @@ class Index:
 
     def matches(self, text: str | None, cache: Tokens) -> list[tuple]:
         """(item id, windows, windows matched, windows consistent, exact, start) of the items found in a text."""
-        codes, template, kind = canonical(text, cache)
+        codes, template, kind, run = canonical(text, cache)
         if len(codes) < WINDOW:
             return [(i, 1, 1, 1, True, 0) for i in self.short.get(codes.tobytes(), ())] if len(codes) else []
-        if not len(self.hashes):
+        found = self._search(codes, template)
+        if found is None:  # no window of any item
             return []
+        have = {m[0] for m in found}
+        return found + [m for m in self.of_runs._search(*merged(codes, template, kind, run)[:2]) or () if m[0] not in have]
+
+    def _search(self, codes: np.ndarray, template: np.ndarray) -> list[tuple] | None:
+        if not len(self.hashes) or len(codes) < WINDOW:
+            return None
         both = [window_hashes(template), window_hashes(codes)]
         # Distinct hashes first: repeats in a document must not multiply items.
-        hits = []
-        for h in both:
-            at = np.flatnonzero(self.sieve[(h >> np.uint64(42)).astype(np.int64)])
-            hits.append(at)
+        hits = [np.flatnonzero(self.sieve[(h >> np.uint64(42)).astype(np.int64)]) for h in both]
         if not any(len(a) for a in hits):
-            return []
+            return None
         distinct = np.unique(np.concatenate([h[a] for h, a in zip(both, hits)]))
         _, rows = self.lookup(distinct)
         if not len(rows):
-            return []
+            return None
         width = int(self.windows.max())
         seen = np.unique(self.owner[rows] * width + self.place[rows])
         owner, matched = np.unique(seen // width, return_counts=True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import remainder_of_crc
-from palimpsest.llm.textclf import in_pieces, sigmoid, trained
+from palimpsest.llm.textclf import in_pieces, sigmoid, stretch, trained
 
 BITS = 12
 TRAIN_ROWS = 1200
@@ -162,9 +162,7 @@ def training_rows(docs: DataFrame, held_out, limit: int = TRAIN_ROWS, most_chars
     A hash threshold a language draws its rows; the bound on all rows is exact.
     Of a text of more than ``most_chars`` characters a stretch drawn by hash is taken.
     """
-    size = F.length("text")
-    start = F.when(size > most_chars, F.pmod(F.xxhash64(F.lit(10), "doc_id"), size - most_chars + 1)).otherwise(0).cast("int") + 1
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").substr(start, F.lit(most_chars)).alias("text"), F.xxhash64(F.lit(9), "doc_id", "text").alias("o"))
+    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", stretch(F.col("text"), F.col("doc_id"), most_chars).alias("text"), F.xxhash64(F.lit(9), "doc_id", "text").alias("o"))
     sizes = [(r.lang, r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     limit = min(limit, max(LEAST_ROWS, ALL_ROWS // max(1, len(sizes))))
     if not sizes:

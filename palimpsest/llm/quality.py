@@ -9,9 +9,11 @@ of (v x) squared.  The model is trained by AdaGrad on a sample of at most
 whatever the input, so its broadcast is bounded.
 
 Defined cases: a null or empty text has no words, and the bins of an empty text;
-null n_chars has a bin of its own; repeated rows are scored each; without labels
-of both kinds the score is the labels' mean (0 without labels); an empty table
-gives an empty result.
+a very long text is scored whole, and learnt from by a stretch; null n_chars, or
+one that is no number, has a bin of its own; repeated rows are scored each;
+labels are taken as in ``textclf.training_sample``; without labels of both kinds
+the score is the labels' mean (0 without labels); an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def score_batch(texts: list, n_chars: list, model, codes: TokenCodes) -> np.ndar
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs (doc_id, text and, if there, n_chars)."""
-    chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.length("text").cast("long")
+    chars = F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.length("text").cast("long")
     rows = docs.select("doc_id", chars.alias("n_chars"), "text")
     held = remainder_of_crc(F.col("doc_id"), 4) == 2
     sample = training_sample(rows.select("doc_id", F.concat(F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit("\x00"), "text").alias("text")), labels, "quality", limit, held)

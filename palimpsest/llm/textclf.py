@@ -7,7 +7,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: characters cut from both ends of a token.
@@ -46,16 +46,26 @@ def in_pieces(batches, rows: int = 512, most_chars: int = 8_000_000):
                 start, held = k + 1, 0
 
 
+def stretch(text: Column, key: Column, most_chars: int) -> Column:
+    """The text; of more than ``most_chars`` characters, a stretch of so many that the key's hash picks."""
+    size = F.length(text)
+    start = F.when(size > most_chars, F.pmod(F.xxhash64(F.lit(10), key), size - most_chars + 1)).otherwise(0).cast("int") + 1
+    return text.substr(start, F.lit(most_chars))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out, seed: int = 5, most_chars: int = 40_000) -> DataFrame:
     """At most ``limit`` rows (label, text) of the labelled rows that may be learnt from, in seeded order.
 
-    The sample is bounded by ``limit`` rows; texts of more than ``most_chars``
-    characters are not drawn, so that its bytes are bounded too.
+    Ids with both labels are left out, and so are labels without a text.  Of a text
+    of more than ``most_chars`` characters a stretch is learnt from, so that the
+    sample is bounded in bytes too.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out).dropDuplicates(["doc_id"])
-    # Ids are drawn from the narrow labels first: at most ``limit`` of them, so they can be broadcast, and no other text moves.
-    drawn = known.withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("o", "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    known = labels.select("doc_id", F.col(label).try_cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out)
+    sure = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
+    there = docs.where(F.col("text").isNotNull())
+    # Ids are drawn first, from narrow rows: at most ``limit`` of them, so they can be broadcast, and no other text moves.
+    drawn = sure.join(there.select("doc_id"), "doc_id", "left_semi").withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("o", "doc_id").limit(limit)
+    rows = there.select("doc_id", stretch(F.col("text"), F.col("doc_id"), most_chars).alias("text"))
     return rows.join(F.broadcast(drawn), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text")
 
 

@@ -6,10 +6,12 @@ per-coordinate FTRL-proximal rule, document by document, on a sample of at most
 ``TRAIN_ROWS`` labelled rows; L1 leaves few weights other than zero, at most
 2**BITS, and those are sent to the executors.
 
-Defined cases: a null or empty text has the score of the intercept; rows
-repeated in ``docs`` are scored each; labels other than 0 and 1, and labels of
-unknown documents, are ignored; without labels of both kinds every score is 0;
-an empty table gives an empty result.
+Defined cases: a null or empty text has the score of the intercept; a very long
+text is scored whole, and learnt from by a stretch; rows repeated in ``docs`` are
+scored each; labels other than 0 and 1, labels of unknown documents and ids with
+both labels are ignored; without labels of both kinds every score is 0; an empty
+table gives an empty result; further columns are ignored or carried, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import catalogue, decontaminate, language, lattice, mixing, quality, toxicity, warc
+from palimpsest.llm import catalogue, decontaminate, language, lattice, mixing, quality, textclf, toxicity, warc
 from palimpsest.llm.common import remainder_of_crc
 from tests.compare import assert_same, database
 from tests.llm.data import ROWS, documents, empty
@@ -70,6 +70,95 @@ def test_held_out_accuracy(spark, larger):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_sample_is_refilled_and_labels_agree(spark):
+    docs = spark.createDataFrame([(1, None), (2, "x" * 50_000), (3, "c"), (4, "d"), (5, "e")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 1), (4, 1), (4, 1), (5, 0), (77, 1)], "doc_id long, toxic int")
+    got = textclf.training_sample(docs, marks, "toxic", 3, F.lit(False)).collect()
+    assert sorted((r.label, len(r.text)) for r in got) == [(0, 1), (1, 1), (1, 40_000)]
+
+
+def test_ftrl_against_scalars(monkeypatch):
+    """Training coordinate by coordinate, with plain dictionaries."""
+    monkeypatch.setattr(toxicity, "LEAST_DOCS", 1)
+    monkeypatch.setattr(toxicity, "L1", 0.2)
+    rows = [(1, "you are a bad bad person"), (0, "what a nice day it is"), (1, "bad day"), (0, None), (0, "a nice person")] * 3
+    codes, z, n = textclf.TokenCodes(), collections.Counter(), collections.Counter()
+
+    def inputs(text):
+        one, two, skip, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 2**64 - 1
+        u = [codes[w] for w in (text or "").lower().split()]
+        out = [(x * one & mask) >> 64 - toxicity.BITS for x in u]
+        for gap, salt in ((1, two), (2, skip)):
+            out += [((a * salt + b * one) * two & mask) >> 64 - toxicity.BITS for a, b in zip(u, u[gap:])]
+        return [*dict.fromkeys(out), -1]
+
+    def weight(i):
+        l1 = 0.0 if i == -1 else 0.2
+        return 0.0 if abs(z[i]) <= l1 and i != -1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA)
+
+    rng = np.random.default_rng(3)
+    for _ in range(toxicity.EPOCHS):
+        for k in rng.permutation(len(rows)):
+            own = inputs(rows[k][1])
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][0]
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    at, values, bias = toxicity.train(rows)
+    want = {i: weight(i) for i in z if i != -1 and weight(i)}
+    assert set(at.tolist()) == set(want) and np.allclose(values, [want[i] for i in at.tolist()], atol=1e-5) and abs(bias - weight(-1)) < 1e-9
+    texts = ["bad person", "", "a nice bad day it is bad"]
+    assert np.allclose(toxicity.score_batch(texts, np.bincount(at, values, 1 << toxicity.BITS).astype(np.float32), bias, textclf.TokenCodes()), [1 / (1 + math.exp(-sum(weight(i) for i in inputs(t)))) for t in texts], atol=1e-5)
+
+
+def test_language_votes_against_scalars():
+    rng = np.random.default_rng(5)
+    letters = {"en": "etaoin", "de": "enisra", "fr": "esaitn", "es": "eaosrn", "xx": "zqxjk"}
+    say = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    model = language.train([(lang, say(lang, 30)) for lang in letters for _ in range(20)])
+    texts = [say(lang, 12) + " 3! É" for lang in letters] + ["a", None, "123"]
+    for text, got, score in zip(texts, *language.predict(texts, model)):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got, score) == ("und", 0.0)
+            continue
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in b"  " + text.lower().encode() + b"  ")
+        grams = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 32 - language.BITS for i in range(len(raw) - 2)]
+        margin = [sum(float(model["w"][g, c]) for g in grams) / len(grams) + model["b"][c] for c in range(model["w"].shape[1])]
+        f = len(model["families"])
+        family = max(range(f), key=lambda c: margin[c])
+        squash = lambda x: 1 / (1 + math.exp(-2 * x))
+        votes, sums = collections.Counter(), collections.Counter()
+        for (p, q), m in zip(model["pairs"], margin[f:]):
+            votes[p if m > 0 else q] += 1
+            sums[p] += squash(m)
+            sums[q] += 1 - squash(m)
+        members = model["members"][family]
+        best = max(members, key=lambda k: (votes[k], sums[k], -k))
+        sure = squash(margin[family]) / sum(squash(m) for m in margin[:f])
+        assert got == model["langs"][best] and abs(score - sure * (sums[best] / (len(members) - 1) if len(members) > 1 else 1.0)) < 1e-4
+
+
+def test_quality_features_against_scalars():
+    texts, sizes = ["The cat! the CAT 12\nthe cat\nthe cat", "", None, "a a a a | {x}"], [10, None, -4, 3]
+    d, s, x = quality.features(texts, sizes, textclf.TokenCodes())
+    for k, text in enumerate(texts):
+        t = text or ""
+        raw, words, lines = t.encode(), t.lower().split(), t.split("\n") if t else []
+        codes = textclf.TokenCodes()
+        slots = {(codes[w] * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - quality.WORD_BITS for w in words}
+        count = lambda chars: sum(chr(b) in chars for b in raw)
+        shares = [count(c) / max(1, len(raw)) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "!?", "#$%&*+=@^_~", "|<>{}[]/\\", "\n", " \t\r\x0b\x0c")]
+        own = [codes[w] for w in words]
+        shares += [sum(a == b for a, b in zip(own[g:], own)) / max(1, len(own)) for g in (1, 2)]
+        shares += [1 - len(slots) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines))]
+        bins = [sum(e <= v for e in quality.EDGES) for v in shares]
+        bins += [int(math.log2(len(raw) + 1)), min(quality.BINS - 1, int(2 * len(raw) / max(1, len(words)))), quality.BINS - 1 if sizes[k] is None else max(0, sizes[k]).bit_length()]
+        want = {slot: 1 / math.sqrt(len(slots)) for slot in slots} | {(1 << quality.WORD_BITS) + j * quality.BINS + b: 0.5 for j, b in enumerate(bins)}
+        got = dict(zip(s[d == k].tolist(), x[d == k].tolist()))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     model = (0.3, rng.standard_normal(50), rng.standard_normal((50, 4)).astype(np.float32))
@@ -119,6 +208,14 @@ def test_templates():
     assert found(index, "Yesterday Anna bought something else") == [] and found(index, None) == [] and found(index, "too short!") == [(1, True)]
 
 
+def test_runs_of_names_and_number_words():
+    index = index_of("Last week at the market Anna bought three baskets of fresh red apples and Anna gave them to the old teacher", "学校 の 庭 に 三本の木 があります何本ですか")
+    say = "Last week at the market {0} bought {1} baskets of fresh red apples and {2} gave them to the old teacher".format
+    assert found(index, say("Mary Jane", "twenty five", "Mary Jane")) == [(0, False)] and found(index, say("Mary Jane", "nine", "Peter")) == []
+    assert found(index, say("Anna", "three", "Anna")) == [(0, True)]
+    assert found(index, "さて学校の庭に三本の木があります何本ですか。") == [(1, True)]
+
+
 def test_windows_that_recur_in_an_item():
     listed = lambda numbers: "what comes next in the list " + " ".join(map(str, numbers))
     index = index_of(listed(range(100, 140)), "word " * 30)
