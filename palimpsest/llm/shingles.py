@@ -3,11 +3,12 @@
 Part of the near-dedup operator (``simhash``).  Texts that share a key are
 candidates.  Of each key one text, its head, is compared with the others; texts
 that are then in one group need nothing more.  Where a key still holds several
-groups, further heads are taken from all but its largest group, at most about
-``HEADS`` a round, and compared with the texts of other groups, until every pair
-of a key has been compared or is in one group.  Heads are picked and compared by
-joins: no key's texts are gathered, and a key of near copies costs a comparison a
-text, not all pairs.
+groups, further heads are drawn from all but its largest group and compared with
+the texts of other groups, until every pair of a key has been compared or is in
+one group.  A round draws about ``HEADS`` texts a key, or more while its pairs
+are at most ``PAIRS`` times the rows of the table of keys.  Heads are picked and
+compared by joins: no key's texts are gathered, and a key of near copies costs a
+comparison a text, not all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from palimpsest.llm.common import discard, written
 from palimpsest.llm.components import components
 
 BANDS, BAND_ROWS = 24, 4
-HEADS = 64
+HEADS, PAIRS = 64, 4
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64)[:, None]
 _ODD = (_RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) | np.uint64(1))[:, None]
@@ -96,7 +97,7 @@ def similar_links(texts: DataFrame, sizes: DataFrame, keyed: DataFrame, size: in
     """
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first")).where("rows > 1").select("key", "first")
     member = written(keyed.join(shared, "key").join(sizes, "at").select("key", "at", "n", (F.col("at") == F.col("first")).alias("head")), "members")
-    found, roots = None, None
+    room, found, roots, turn = PAIRS * member.count(), None, None, 0
     while True:
         heads = member.where("head").select("key", *[F.col(c).alias(f"h_{c}") for c in member.columns if c not in ("key", "head")])
         near = (F.least("n", "h_n") >= F.greatest("n", "h_n") * similarity - 1e-9) & (F.col("at") != F.col("h_at"))
@@ -110,10 +111,13 @@ def similar_links(texts: DataFrame, sizes: DataFrame, keyed: DataFrame, size: in
         # Heads have met all others of their key; what remains of a key is open while it is in several groups.
         rest = member.where("NOT head").select("key", "at", "n").join(roots.withColumnsRenamed({"node": "at"}), "at", "left").withColumn("root", F.coalesce("root", "at"))
         groups = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-        of_key = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.max_by("root", "rows").alias("largest")).where("groups > 1")
-        drawn = F.pmod(F.xxhash64("at", "key"), F.lit(1 << 20)) * (F.col("all") - F.col("most")) < F.lit(HEADS << 20)
-        after = rest.join(of_key, "key").select("key", "at", "n", "root", ((F.col("root") != F.col("largest")) & drawn).alias("head"))
-        new = written(after, "members")
+        of_key = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.max_by("root", F.struct("rows", "root")).alias("largest")).where("groups > 1")
+        after = written(rest.join(of_key, "key").select("key", "at", "n", "root", (F.col("root") != F.col("largest")).alias("small"), "all", (F.col("all") - F.col("most")).alias("others")), "open")
+        open_pairs = after.where("small").agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+        share, turn = min(1.0, room / max(1, open_pairs)), turn + 1
+        drawn = F.pmod(F.xxhash64("at", "key", F.lit(turn)), F.lit(1 << 20)) < F.greatest(F.lit(share), F.lit(HEADS) / F.col("others")) * (1 << 20)
+        new = written(after.select("key", "at", "n", "root", (F.col("small") & drawn).alias("head")), "members")
+        discard(after)
         discard(member)
         member = new
         if not member.limit(1).count():
