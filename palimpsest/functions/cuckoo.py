@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.hashing import np_mix64
 
@@ -74,22 +75,45 @@ class Cuckoo:
         return False
 
 
-#: Keys a broadcast filter may hold; a larger set is joined exactly.
-MOST_KEYS = 2_000_000
+#: Keys that a filter is meant to hold, and tasks that share a filter's probes.
+FILTER_KEYS, SALTS = 50_000, 4
 
 
 def maybe_in(probes: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
-    """Probes that may be among ``keys``: no false negatives, few false positives. Beyond MOST_KEYS keys, an exact semi join."""
-    n = keys.count()
-    if n > MOST_KEYS:
-        return probes.withColumn("__k", key).join(keys.select(F.col(column).alias("__k")).distinct(), "__k", "left_semi").drop("__k")
-    filt = Cuckoo(max(1, 2 * n))
-    for r in keys.select(column).toLocalIterator():
-        filt.insert(r[0] & ((1 << 64) - 1))
-    shared = probes.sparkSession.sparkContext.broadcast(filt)
-
-    @F.pandas_udf("boolean")
-    def hit(x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.contains(x.to_numpy(dtype=np.int64).view(np.uint64)))
-
-    return probes.where(hit(key))
+    """Probes that may be among ``keys``: no false negatives, few false positives; null keys match nothing.
+
+    Keys and probes are dealt by hash, about FILTER_KEYS distinct keys a filter.  A
+    task reads a filter's keys, which come first, and streams its probes past it,
+    so it holds one filter and one batch.  A filter's probes are dealt to SALTS tasks.
+    """
+    held = keys.select(F.col(column).cast("long").alias("__k")).where("__k IS NOT NULL").distinct()
+    filters = max(1, -(-held.count() // FILTER_KEYS))
+    deal = F.pmod(F.xxhash64("__k"), F.lit(filters)).alias("__f")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in probes.columns])
+    asked = probes.select(key.cast("long").alias("__k"), row.alias("row")).where("__k IS NOT NULL")
+    asked = asked.select(deal, F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("__s"), F.lit(1).alias("__o"), "__k", "row")
+    told = held.select(deal, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"), F.lit(0).alias("__o"), "__k", F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+
+    def run(batches):
+        at, pending, filt = None, [], None
+        for batch in batches:
+            deals = batch.column(0).to_numpy() * SALTS + batch.column(1).to_numpy()
+            kinds, values = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (deals[1:] != deals[:-1]) | (kinds[1:] != kinds[:-1]))))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(deals)]):
+                if deals[a] != at:
+                    at, pending, filt = deals[a], [], None
+                if kinds[a] == 0:
+                    pending.append(values[a:b])
+                elif pending or filt is not None:
+                    if filt is None:
+                        known = np.concatenate(pending)
+                        filt, pending = Cuckoo(2 * len(known)), []
+                        for value in known.tolist():
+                            filt.insert(value & ((1 << 64) - 1))
+                    hit = np.flatnonzero(filt.contains(values[a:b].view(np.uint64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(4).slice(a, b - a).take(pa.array(hit))], names=["row"])
+
+    sorted_ = told.unionByName(asked).repartition("__f", "__s").sortWithinPartitions("__f", "__s", "__o")
+    found = sorted_.mapInArrow(run, T.StructType([asked.schema["row"]]))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in probes.columns])

@@ -57,6 +57,45 @@ def snapshot(counted: DataFrame, precision: int = 9) -> DataFrame:
     return counted.withColumn("hit_ratio", F.round(ratio(F.col("hits"), F.col("hits") + F.col("misses") + F.col("evicted_reads")), precision)).withColumn("waf", F.round(ratio(F.col("bytes_written"), F.col("bytes_payload")), precision))
 
 
+def full_snapshot(outcomes: DataFrame, leaf: DataFrame, regions: DataFrame, journal: DataFrame, batch_pages: int, capacity_bytes: int) -> DataFrame:
+    """One row of all counters and ratios.
+
+    ``regions`` (dev, epoch, written_pages, live_pages), ``journal`` (bytes,
+    dropped) of the log's records; writes are taken in batches of ``batch_pages``
+    pages a region.
+    """
+    calls = counters(outcomes)
+    errors = outcomes.agg(F.count_if(F.col("outcome") == "EINVAL").alias("puts_err"), F.max("seq").alias("ver"))
+    live = leaf.agg(F.count(F.lit(1)).alias("leaves"))
+    space = regions.agg(
+        F.sum(F.ceil(F.col("written_pages") / batch_pages)).cast("long").alias("batches"), (F.count(F.lit(1)) - F.count_distinct("dev")).alias("rotations"),
+        F.sum(F.col("live_pages") * 4096).alias("live_bytes"), F.count_distinct("dev", F.col("epoch") % 64).alias("generations"))
+    meta = journal.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("meta_bytes_written"), F.coalesce(F.sum("dropped"), F.lit(0)).cast("long").alias("journal_dropped"))
+    row = calls
+    for part in (errors, live, space, meta):  # one row each
+        row = row.crossJoin(part)
+    row = row.withColumn("drops", F.lit(0).cast("long")).withColumn("capacity_bytes", F.lit(capacity_bytes).cast("long"))
+    total = F.col("bytes_written") + F.col("meta_bytes_written")
+    return snapshot(row).withColumn("waf_total", F.round(ratio(total, F.col("bytes_payload")), 9)).withColumn("avg_batch_kib", F.round(ratio(F.col("bytes_written"), F.col("batches")) / 1024, 9))
+
+
+def value_of(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(metric, value) of the asked names; an unknown one is 0."""
+    return names.join(rows, "metric", "left").select("metric", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def overflow_alarm(snapshot_: DataFrame) -> DataFrame:
+    """The alarm line of a dump: records that a journal dropped before a checkpoint, or none."""
+    dropped = F.col("journal_dropped")
+    return snapshot_.select(dropped, F.when(dropped > 0, F.format_string("journal overflow: %d records dropped", dropped)).otherwise("").alias("alarm"))
+
+
+def rates(phases: DataFrame, seconds: Column) -> DataFrame:
+    """Operations and MiB a second of phases (d_puts, d_gets, d_bytes); 0 for a phase without time."""
+    per = lambda x: F.round(F.when(seconds > 0, x / seconds).otherwise(F.lit(0.0)), 6)
+    return phases.withColumn("put_iops", per(F.col("d_puts"))).withColumn("get_iops", per(F.col("d_gets"))).withColumn("w_mibps", per(F.col("d_bytes") / 1048576))
+
+
 def as_rows(one_row: DataFrame) -> DataFrame:
     """(metric, value) rows of a one-row table, for the CSV sink."""
     return one_row.unpivot([], one_row.columns, "metric", "value") if len({t for _, t in one_row.dtypes}) == 1 else one_row.select(*[F.col(c).cast("string").alias(c) for c in one_row.columns]).unpivot([], one_row.columns, "metric", "value")

@@ -64,6 +64,27 @@ def compaction(leaf: DataFrame, gone: DataFrame, pinned: Column, threshold: int,
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("dev").orderBy("ver"))).where(F.col("rank") <= most).drop("rank")
 
 
+def trim_seqs(regions: DataFrame, ring: int) -> DataFrame:
+    """(dev, epoch, trim_seq): a device holds ``ring`` regions; the first write of a new one frees the oldest.
+
+    Regions (dev, epoch, first_seq); those still held have no row.
+    """
+    later = regions.select("dev", (F.col("epoch") - ring).alias("epoch"), F.col("first_seq").alias("trim_seq"))
+    return regions.select("dev", "epoch").join(later, ["dev", "epoch"])
+
+
+def after_trims(leaf: DataFrame, trims: DataFrame) -> DataFrame:
+    """Leaves (with dev, epoch) that survive a replay with TRIM records: those of no trimmed region."""
+    return leaf.join(trims.select("dev", "epoch"), ["dev", "epoch"], "left_anti")
+
+
+def moved(plan: DataFrame, now: DataFrame) -> DataFrame:
+    """What a compaction writes anew: planned leaves whose address still has the planned version; others are skipped."""
+    current = now.select("prefix_id", "group_idx", F.col("ver").alias("now_ver"))
+    guarded = plan.join(current, ["prefix_id", "group_idx"], "left")
+    return guarded.withColumn("moved", F.coalesce(F.col("now_ver") == F.col("ver"), F.lit(False))).drop("now_ver")
+
+
 def checkpoint_due(used: Column, on_last_page: Column, dropped: Column, most: int = 3276) -> Column:
     """Whether a device's journal asks for a checkpoint: nearly full page, last page, or records dropped since the last one."""
     return (used > most) | on_last_page | (dropped > 0)

@@ -51,6 +51,11 @@ def hot_paths(counts: DataFrame, threshold: int = HOT_THRESHOLD) -> DataFrame:
     return two.select("prefix_id", "group_idx", F.coalesce("parent_hits", F.lit(0)).alias("parent_hits"), F.coalesce("grand_hits", F.lit(0)).alias("grand_hits"), hot.alias("hot"))
 
 
+def visit(nodes: DataFrame, most: int) -> DataFrame:
+    """Nodes in depth-first order of their addresses, stopping early after ``most`` (a feature)."""
+    return nodes.orderBy("depth", "address").limit(most)
+
+
 def decayed(hits: Column, ticks: Column) -> Column:
     """Floor halving, ``ticks`` times."""
     return F.call_function("shiftright", hits, F.least(ticks, F.lit(62)).cast("int"))

@@ -50,6 +50,19 @@ def reassembled(parts: DataFrame) -> DataFrame:
     return parts.groupBy("seq").agg(F.max("n_parts").alias("n_parts"), F.count_distinct("part").alias("have"), F.sum("part_len").alias("bytes")).withColumn("rc", F.when(F.col("have") == F.col("n_parts"), "OK").otherwise("EREAD"))
 
 
+def reassembled_bytes(parts: DataFrame, crc: str = "crc") -> DataFrame:
+    """Per seq: the parts' bytes in order, EREAD where one is missing, ECRC where the whole fails its check.
+
+    Rows (seq, part, n_parts, bytes, crc): crc is the CRC-32 of the whole value.  A
+    value has at most MAX_PARTS parts, so its list is bounded.
+    """
+    whole = parts.groupBy("seq").agg(F.max("n_parts").alias("n_parts"), F.count_distinct("part").alias("have"), F.max(crc).alias("crc"), F.sort_array(F.collect_set(F.struct("part", "bytes"))).alias("list"))
+    # Binary joined in order; an array of binary is folded by concatenation.
+    joined = whole.withColumn("value", F.aggregate(F.transform("list", lambda x: x.bytes), F.lit(b""), lambda a, x: F.concat(a, x)))
+    rc = F.when(F.col("have") != F.col("n_parts"), "EREAD").when(F.crc32("value") != F.col("crc"), "ECRC").otherwise("OK")
+    return joined.select("seq", "n_parts", rc.alias("rc"), "value")
+
+
 def replicas(puts: DataFrame, hot: Column, n_devices: int, threshold: int = STRIPE_THRESHOLD) -> DataFrame:
     """Write slots: two, on neighbouring devices, for hot PUTs that are not striped."""
     two = hot & (F.col("payload_len") <= threshold) & F.lit(n_devices > 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import with_sequence_key
@@ -14,8 +14,8 @@ def keyed(sequences: DataFrame) -> DataFrame:
 
 
 def _calls(sequences: DataFrame, op: str, size: Column, now: Column, first_seq: int) -> DataFrame:
-    # A call's place is its sequence's rank in the batch of calls; batches are small.
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sequence_id")) - 1
+    # A call's place is its row's number in the batch of calls: unique, and no order over all calls is worked out.
+    order = F.monotonically_increasing_id()
     return keyed(sequences).select((F.lit(first_seq) + order).cast("long").alias("seq"), now.cast("long").alias("now_s"), F.lit(op).alias("op"), "prefix_id", "group_idx", size.cast("long").alias("payload_len"), F.lit(0).cast("long").alias("expire_ts"))
 
 

@@ -17,6 +17,8 @@ from palimpsest.operators.oplog import ADDRESS
 #: Result codes, negative as clients see them.
 CODES = {"OK": 0, "HIT": 0, "ENOENT": -3, "EBUSY": -4, "EINVAL": -11, "EVICTED": -12}
 STRIPE_THRESHOLD = 1 << 20
+#: Seqs of a stretch, in logs that span more than a few of them.
+STRETCH = 1 << 20
 
 
 def _before(*keys: str):
@@ -50,8 +52,12 @@ def last_before(df: DataFrame, keys: list[str], value: Column, out: str, chunk:
 def point_in_time(ops: DataFrame, chunk: int | None = None) -> DataFrame:
     """Per operation: the leaf it sees, whether its prefix is tombstoned, and its outcome.
 
-    ``chunk``: see ``last_before``; for logs with hot addresses or prefixes.
+    ``chunk``: see ``last_before``; without it, logs over more than four stretches
+    of ``STRETCH`` seqs are cut into those, so that no hot prefix is one task.
     """
+    if chunk is None:
+        ends = ops.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+        chunk = STRETCH if ends.a is not None and ends.b - ends.a > 4 * STRETCH else None
     change = F.when(F.col("op").isin("PUT", "EVICT"), F.struct("op", "seq", "payload_len", "expire_ts"))
     seen = last_before(ops, ADDRESS, change, "seen", chunk)
     live = seen.withColumn("live", F.coalesce(F.col("seen.op") == "PUT", F.lit(False)))
@@ -135,6 +141,25 @@ def absent(probes: DataFrame, leaf: DataFrame) -> DataFrame:
     return probes.join(leaf.select(*ADDRESS), ADDRESS, "left_anti")
 
 
+def lookup_hits(ops: DataFrame, probes: DataFrame, leaf: DataFrame) -> DataFrame:
+    """Per prefix: hits of GETs, and of existence probes, which count as lookups too."""
+    gets = point_in_time(ops).where("outcome = 'HIT'").groupBy("prefix_id").agg(F.count(F.lit(1)).alias("get_hits"))
+    found = exists(probes, leaf).groupBy("prefix_id").agg(F.count(F.lit(1)).alias("probe_hits"))
+    both = gets.join(found, "prefix_id", "full")
+    return both.select("prefix_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("get_hits", "probe_hits")]).withColumn("hits", F.col("get_hits") + F.col("probe_hits"))
+
+
+def published(rows: DataFrame) -> DataFrame:
+    """Per address: the newest version, the replica slots or stripe parts that its rows filled, and their bytes.
+
+    Rows (address, ver, slot, payload_len) in any order: an older version is
+    ignored, one of equal version fills its slot, a newer one replaces.
+    """
+    newest = rows.groupBy(*ADDRESS).agg(F.max("ver").alias("ver"))
+    held = rows.join(newest, [*ADDRESS, "ver"]).groupBy(*ADDRESS, "ver", "slot").agg(F.max("payload_len").alias("payload_len"))
+    return held.groupBy(*ADDRESS, "ver").agg(F.count(F.lit(1)).alias("slots"), F.sum("payload_len").alias("bytes"))
+
+
 def batch_exists(wanted: DataFrame, leaf: DataFrame) -> DataFrame:
     """Per batch of (batch, pos, address): length of the contiguous run of stored keys from position 0."""
     found = leaf.select(*ADDRESS, F.lit(1).alias("found"))

@@ -43,6 +43,15 @@ def shards_for(budget: int, n: int = N_SHARDS) -> int:
     return n
 
 
+def shards_of(budget: Column, n: int = N_SHARDS) -> Column:
+    """``shards_for`` of a column."""
+    out = F.lit(1)
+    while n > 1:
+        out = F.when((out == 1) & (F.floor(budget / n) >= LEAST_SHARD), n).otherwise(out)
+        n >>= 1
+    return out.cast("int")
+
+
 @dataclass
 class _Entry:
     key: tuple

@@ -53,6 +53,14 @@ def stored_prefix(probes: DataFrame, stored: DataFrame, doc: str = "doc_id") ->
     return joined.groupBy(doc).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.min(F.when(F.col("found").isNull(), F.col("group_idx"))).cast("long"), F.count(F.lit(1))).alias("stored_prefix"))
 
 
+def stored_before(addressed: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: how many of its groups documents with smaller ids have stored, without a gap from the first."""
+    first = addressed.groupBy("address").agg(F.min(doc).alias("first"))
+    joined = addressed.join(first, "address")
+    gap = F.min(F.when(F.col("first") == F.col(doc), F.col("group_idx"))).cast("long")
+    return joined.groupBy(doc).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(gap, F.count(F.lit(1))).alias("stored_prefix"))
+
+
 #: Groups with chained addresses as SQL over a relation d(doc, tokens), for the oracles.
 def sql(source: str, keep: str) -> str:
     return f"""

@@ -210,11 +210,10 @@ def prefix_sharing(spark, sf_dir):
     return tokens.sharing_by(_addressed(spark, sf_dir, "doc_id", "lang"), "lang")
 
 
-@query(_GROUPS + """, s AS (SELECT DISTINCT address FROM g WHERE doc_id % 2 = 0)
-SELECT doc_id, count(*) AS groups, coalesce(min(CASE WHEN s.address IS NULL THEN group_idx END), count(*)) AS stored_prefix FROM g LEFT JOIN s USING (address) WHERE doc_id % 2 = 1 GROUP BY doc_id""")
+@query(_GROUPS + """, s AS (SELECT address, min(doc_id) AS first FROM g GROUP BY address)
+SELECT doc_id, count(*) AS groups, coalesce(min(CASE WHEN s.first >= doc_id THEN group_idx END), count(*)) AS stored_prefix FROM g JOIN s USING (address) GROUP BY doc_id""")
 def stored_longest_prefix(spark, sf_dir):
-    a = _addressed(spark, sf_dir)
-    return tokens.stored_prefix(a.where("doc_id % 2 = 1"), a.where("doc_id % 2 = 0"))
+    return tokens.stored_before(_addressed(spark, sf_dir))
 
 
 def _dialogue(spark, sf_dir):
@@ -292,7 +291,9 @@ def hit_decay_tick(spark, sf_dir):
     return h.select("prefix_id", "hits", index.decayed(F.col("hits"), F.lit(1)).alias("decayed"), index.decayed(F.col("hits"), F.lit(3)).alias("decayed_3"))
 
 
-@query()
+@query(STATE + """, per AS (SELECT prefix_id, now_s // 86400 AS tick, count(*) AS hits FROM outcomes WHERE outcome = 'HIT' GROUP BY ALL),
+steps AS (SELECT prefix_id, list({'t': tick, 'c': hits} ORDER BY tick) AS s FROM per GROUP BY prefix_id)
+SELECT prefix_id, f.t AS last_tick, f.c AS hits FROM (SELECT prefix_id, list_reduce(s, lambda a, b: {'t': b.t, 'c': (a.c >> CAST(least(62, b.t - a.t) AS BIGINT)) + b.c}) AS f FROM steps)""")
 def hit_decay(spark, sf_dir):
     hits = state.point_in_time(_ops(spark, sf_dir)).where("outcome = 'HIT'").groupBy("prefix_id", F.expr("now_s div 86400").alias("tick")).agg(F.count(F.lit(1)).alias("hits"))
     return index.decay_by_tick(hits, "prefix_id")
@@ -359,10 +360,10 @@ def record_offsets(spark, sf_dir):
     return placement.record_offsets(_records(spark, sf_dir), "l_orderkey")
 
 
-@query("SELECT doc_id, left(text, 16) AS head, substr(text, 17, 32) AS body FROM documents")
+@query("SELECT doc_id, left(text, 16) AS head, substr(text, 17) AS body FROM documents")
 def layer_projection(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    return d.select("doc_id", placement.layer_slice(F.col("text"), F.lit(0), F.lit(16)).alias("head"), placement.layer_slice(F.col("text"), F.lit(16), F.lit(32)).alias("body"))
+    return d.select("doc_id", placement.layer_slice(F.col("text"), F.lit(0), F.lit(16)).alias("head"), placement.layer_slice(F.col("text"), F.lit(16), F.length("text")).alias("body"))
 
 
 @query(OPS + """SELECT seq, CAST(CASE WHEN c <= 4096 THEN 0 WHEN c <= 16384 THEN 1 WHEN c <= 65536 THEN 2 WHEN c <= 262144 THEN 3 WHEN c <= 1048576 THEN 4 WHEN c <= 8388608 THEN 5 ELSE -1 END AS INTEGER) AS class, c AS cost FROM (SELECT seq, 56 + 12 * 4 + payload_len AS c FROM ops WHERE op = 'PUT')""")
@@ -723,7 +724,12 @@ def zipf_cdf(spark, sf_dir):
     return workload.zipf_cdf(spark, 1000).select("k", F.round("cdf", 9).alias("cdf"))
 
 
-@query()
+_DRAWS = _hash_sql("SELECT i, CAST(i + 4294967296 AS UHUGEINT) AS h0 FROM (SELECT unnest(range(0, 2000)) AS i)", "i")
+
+
+@query(_DRAWS + """, cdf AS (SELECT k, sum(1.0::DOUBLE / k) OVER (ORDER BY k) / (SELECT sum(1.0::DOUBLE / x) FROM (SELECT unnest(range(1, 101)) AS x)) AS cdf FROM (SELECT unnest(range(1, 101)) AS k)),
+f AS (SELECT i, CAST(h // 2048 AS DOUBLE) / 9007199254740992 AS u FROM d)
+SELECT key, count(*) AS n FROM (SELECT i, least(100, 1 + (SELECT count(*) FROM cdf WHERE cdf < u)) AS key FROM f) GROUP BY key""")
 def workload_keys(spark, sf_dir):
     return workload.keys(spark, 2000, 100, "zipf").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
@@ -777,3 +783,7 @@ def stream_sessions(spark, sf_dir):
 def stream_outcomes(spark, sf_dir):
     done = streams.available(streams.keyed_outcomes(streams.read(spark, sf_dir)), "append")
     return done.groupBy("op", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_len").alias("payload_bytes"))
+
+
+# The queries of upkeep add themselves.
+from palimpsest.plans import upkeep as _upkeep  # noqa: E402, F401

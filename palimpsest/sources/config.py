@@ -10,7 +10,10 @@ PAGE = 4096
 
 @dataclass(frozen=True)
 class Config:
-    """``gc_high_water_pct``, ``sync_mode`` and ``dram_cache_side`` are accepted and have no effect."""
+    """``gc_high_water_pct``, ``sync_mode`` and ``dram_cache_side`` are accepted and have no effect.
+
+    Fixed values: names, order and defaults of the fields.
+    """
 
     n_groups_tokens: int = 32
     region_cnt: int = 6
@@ -71,6 +74,22 @@ class Config:
         return cls(**given).validated()
 
 
+def schema_rows() -> list[tuple[int, str, str, str]]:
+    """(place, name, type, default) of each field, from the dataclass."""
+    return [(k, f.name, f.type, json.dumps(f.default)) for k, f in enumerate(fields(Config))]
+
+
+#: What a zero stands for, after ``Config.resolved``.
+DEFAULTS = {"stripe_unit": 256 << 10, "stripe_threshold": 1 << 20, "batch_min_bytes": 256 << 10, "dram_entry_max_bytes": 8 << 20, "region_align_bytes": PAGE}
+
+
+def resolved_columns() -> list:
+    """The columns of ``DEFAULTS`` with defaults for zeros and nulls."""
+    from pyspark.sql import functions as F
+
+    return [F.coalesce(F.nullif(F.col(name), F.lit(0)), F.lit(value)).cast("long").alias(name) for name, value in DEFAULTS.items()]
+
+
 def geometry_ok(logical_block: int) -> bool:
     """A block size is not known (0), or a power of two from 512 to a page."""
     return logical_block == 0 or (512 <= logical_block <= PAGE and logical_block & (logical_block - 1) == 0)

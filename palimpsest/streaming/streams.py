@@ -7,8 +7,6 @@ folder, and returns the table it has written.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from palimpsest.operators.oplog import from_events
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from palimpsest.sources.store import fresh_folder
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def available(df: DataFrame, mode: str) -> DataFrame:
     """The result of all that is available now."""
-    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    spark, folder = df.sparkSession, fresh_folder(df.sparkSession, "stream")
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt").outputMode(mode).trigger(availableNow=True).start()
     else:
