@@ -1,16 +1,15 @@
 """Second-level read cache: versioned entries in shards, evicted by SIEVE.
 
-A shard's accesses are a sequence, so a shard is one group of
-``applyInPandas``; shards are many, and hashed, so hot prefixes spread.  The
-simulation keeps what the shard holds, which its budget bounds; its rows come in
-Arrow batches of the group.
+A shard's accesses are a sequence: a task takes a shard's rows in their order,
+as Arrow batches.  Shards are many, and hashed, so hot prefixes spread.  The
+simulation keeps what the shard holds, which its budget bounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,14 +156,26 @@ def simulate(accesses: DataFrame, budget: int, entry_max: int = ENTRY_MAX) -> Da
     n = shards_for(budget)
     share, most = budget // n, min(entry_max, budget)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = Sieve(share, most)
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            key = (r.prefix_id, r.group_idx)
-            if r.kind == "invalidate":
-                shard.drop(key)
-            elif not shard.get(key, int(r.ver), int(r.now_s)):
-                shard.put(key, int(r.ver), int(r.expire_ts), int(r.cost))
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "hits": [shard.hits], "misses": [shard.misses], "evictions": [shard.evictions], "rejected": [shard.rejected], "entries": [len(shard.table)], "bytes": [shard.bytes]})
-
-    return with_shard(accesses, n).groupBy("shard").applyInPandas(run, "shard int, hits long, misses long, evictions long, rejected long, entries long, bytes long")
+    def run(batches):
+        at, shard = None, None
+        for batch in batches:
+            for number, seq, now, prefix, group, kind, ver, expire, cost in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != at:
+                    if shard is not None:
+                        yield _stats(at, shard)
+                    at, shard = number, Sieve(share, most)
+                key = (prefix, group)
+                if kind == "invalidate":
+                    shard.drop(key)
+                elif not shard.get(key, ver, now):
+                    shard.put(key, ver, expire, cost)
+        if shard is not None:
+            yield _stats(at, shard)
+
+    dealt = with_shard(accesses, n).select(F.col("shard").cast("int").alias("shard"), "seq", "now_s", "prefix_id", "group_idx", "kind", "ver", "expire_ts", "cost")
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "seq").mapInArrow(run, "shard int, hits long, misses long, evictions long, rejected long, entries long, bytes long")
+
+
+def _stats(number: int, shard: Sieve) -> pa.RecordBatch:
+    row = {"hits": shard.hits, "misses": shard.misses, "evictions": shard.evictions, "rejected": shard.rejected, "entries": len(shard.table), "bytes": shard.bytes}
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32())] + [pa.array([v], pa.int64()) for v in row.values()], names=["shard", *row])

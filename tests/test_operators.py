@@ -276,3 +276,102 @@ def test_stream_equals_batch(spark, sf_dir):
 def test_pushdown_and_pruning(spark, sf_dir):
     plan = state.outcome_counts(oplog.read(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "CartesianProduct" not in plan
+
+
+def _mix64(x):
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def test_tier_against_lists(spark, sf_dir):
+    """SIEVE with a plain list as queue, per shard, over the log's accesses."""
+    budget, n = 4 << 20, 4
+    accesses = tier.accesses_of(state.point_in_time(oplog.read(spark, sf_dir))).orderBy("seq").collect()
+    shards = [{"queue": [], "hand": None, "hits": 0, "misses": 0, "evictions": 0, "rejected": 0} for _ in range(n)]
+    for r in accesses:
+        s, key = shards[_mix64((r.prefix_id ^ (r.group_idx << 32)) & ((1 << 64) - 1)) % n], (r.prefix_id, r.group_idx)
+        queue = s["queue"]
+        at = next((k for k, e in enumerate(queue) if e["key"] == key), None)
+
+        def unlink(k):
+            if s["hand"] is queue[k]:
+                s["hand"] = queue[k + 1] if k + 1 < len(queue) else None
+            del queue[k]
+
+        if r.kind == "invalidate":
+            if at is not None:
+                unlink(at)
+            continue
+        if at is not None and queue[at]["ver"] == r.ver and not (queue[at]["expire"] and queue[at]["expire"] < r.now_s):
+            queue[at]["visited"] = True
+            s["hits"] += 1
+            continue
+        s["misses"] += 1
+        if r.cost <= tier.ENTRY_HEAD or r.cost > min(tier.ENTRY_MAX, budget) or r.cost > budget // n:
+            s["rejected"] += 1
+            continue
+        if at is not None:
+            if queue[at]["ver"] >= r.ver:
+                continue
+            unlink(at)
+        fresh = {"key": key, "ver": r.ver, "expire": r.expire_ts, "cost": r.cost, "visited": False}
+        queue.append(fresh)
+        while sum(e["cost"] for e in queue) > budget // n:
+            e = s["hand"] or queue[0]
+            k = queue.index(e)
+            after = queue[k + 1] if k + 1 < len(queue) else None
+            if e is fresh or e["visited"]:
+                e["visited"] = e["visited"] and e is fresh
+                s["hand"] = after
+            else:
+                del queue[k]
+                s["hand"] = after
+                s["evictions"] += 1
+    got = {r.shard: r for r in tier.simulate(tier.accesses_of(state.point_in_time(oplog.read(spark, sf_dir))), budget).collect()}
+    for k, s in enumerate(shards):
+        if k in got:
+            r = got[k]
+            assert (r.hits, r.misses, r.evictions, r.rejected, r.entries, r.bytes) == (s["hits"], s["misses"], s["evictions"], s["rejected"], len(s["queue"]), sum(e["cost"] for e in s["queue"]))
+    assert sum(r.evictions for r in got.values()) > 0
+
+
+def test_allocation_against_a_loop(spark, sf_dir):
+    parts = placement.stripe_parts(oplog.read(spark, sf_dir).where("op = 'PUT'"), 4)
+    want = []
+    by_dev = {}
+    for r in parts.collect():
+        by_dev.setdefault(r.dev, []).append((r.seq, r.part, r.part_pages))
+    for dev, rows in by_dev.items():
+        rows.sort()
+        batch, used, number, region, epoch, cursor, waiting = [], 0, 0, 0, 1, 1, []
+        for row in [*rows, None]:
+            if batch and (row is None or len(batch) >= 512 or used >= 256 << 10 or used + row[2] * 4096 > 4 << 20):
+                if cursor + sum(x[2] for x in batch) > 2048:
+                    region, epoch, cursor = (region + 1) % 8, epoch + 1, 1
+                for seq, part, pages in batch:
+                    want.append((dev, seq, part, pages, number, region, epoch, cursor))
+                    cursor += pages
+                batch, used, number = [], 0, number + 1
+            if row is not None:
+                batch.append(row)
+                used += row[2] * 4096
+    got = [tuple(r) for r in alloc.allocate(parts, 2048, 8).collect()]
+    assert sorted(got) == sorted(want) and max(r[6] for r in got) > 1
+
+
+def test_long_logs_are_cut_into_stretches(spark, sf_dir, monkeypatch):
+    ops = oplog.read(spark, sf_dir)
+    whole = sorted(map(str, state.point_in_time(ops).collect()))
+    monkeypatch.setattr(state, "STRETCH", 20)
+    assert sorted(map(str, state.point_in_time(ops).collect())) == whole
+
+
+def test_zipf_keys_by_ranges(spark, monkeypatch):
+    from palimpsest.sources import workload
+
+    whole = sorted(map(tuple, workload.keys(spark, 3000, 500, "zipf").collect()))
+    monkeypatch.setattr(workload, "BROADCAST_KEYS", 10)
+    monkeypatch.setattr(workload, "STRETCH", 64)
+    assert sorted(map(tuple, workload.keys(spark, 3000, 500, "zipf").collect())) == whole
