@@ -41,6 +41,20 @@ def stripe_parts(puts: DataFrame, n_devices: int, unit: int = STRIPE_UNIT, thres
     return parts.withColumn("part_len", size).withColumn("part_pages", payload_pages(F.col("part_len"))).withColumn("dev", F.pmod(device(F.col("prefix_id"), n_devices) + F.col("part"), F.lit(n_devices)).cast("int"))
 
 
+def register_functions(spark) -> None:
+    """The table function stripe_split(length): a row (part, part_len) for each part."""
+
+    @F.udtf(returnType="part int, part_len bigint")
+    class Split:
+        def eval(self, length: int):
+            n = -(-length // STRIPE_UNIT) if length > STRIPE_THRESHOLD else 1
+            if n <= MAX_PARTS:
+                for part in range(n):
+                    yield part, length if n == 1 else min(STRIPE_UNIT, length - part * STRIPE_UNIT)
+
+    spark.udtf.register("stripe_split", Split)
+
+
 def stripe_balance(parts: DataFrame) -> DataFrame:
     return parts.groupBy("dev").agg(F.count(F.lit(1)).alias("parts"), F.sum("part_len").alias("bytes"), F.sum("part_pages").alias("pages"))
 

@@ -10,6 +10,7 @@ from palimpsest.plans import views
 from palimpsest.plans.catalogue import (
     _CONFIGS, _COUNTERS, _FNV, _NODES, _PARTS, N_DEV, OPS, PLACED, STATE, _addressed, _batches, _hash_sql, _located_leaves, _ops, _placed, _regions, _table, query)
 from palimpsest.sources import config, store
+from palimpsest.streaming import streams
 
 RING = 4
 
@@ -237,6 +238,19 @@ def stripe_bytes(spark, sf_dir):
     return back.select(F.col("seq").alias("doc_id"), "n_parts", "rc", F.when(F.col("rc") == "OK", F.md5("value")).otherwise("-").alias("digest"))
 
 
+@query(OPS + "SELECT (day - k) * 86400 AS start_s, op, count(*) AS n, CAST(sum(payload_len) AS BIGINT) AS bytes FROM (SELECT now_s // 86400 AS day, op, payload_len FROM ops), (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    return streams.available(streams.sliding(streams.read(spark, sf_dir)), "complete")
+
+
+@query(_PARTS + "SELECT seq, part, part_len FROM parts")
+def stripe_parts_table_function(spark, sf_dir):
+    """The split as a table function, for use from SQL; ``stripe_parts`` is the same without Python."""
+    placement.register_functions(spark)
+    _ops(spark, sf_dir).where("op = 'PUT'").createOrReplaceTempView("stripe_puts")
+    return spark.sql("SELECT p.seq, t.part, t.part_len FROM stripe_puts p, LATERAL stripe_split(p.payload_len) t")
+
+
 # Counters.
 
 _FULL = PLACED + f""", c AS (SELECT count(*) FILTER (WHERE op = 'PUT') AS puts, count(*) FILTER (WHERE op = 'GET') AS gets, count(*) FILTER (WHERE op = 'EVICT') AS evicts, count(*) FILTER (WHERE outcome = 'HIT') AS hits,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import asdict, dataclass, field, fields, make_dataclass, replace
 
 PAGE = 4096
 
@@ -79,6 +79,20 @@ def schema_rows() -> list[tuple[int, str, str, str]]:
     return [(k, f.name, f.type, json.dumps(f.default)) for k, f in enumerate(fields(Config))]
 
 
+def schema_json() -> str:
+    """The fields as JSON, from which ``generated`` makes the class again."""
+    return json.dumps([{"name": n, "type": t, "default": json.loads(d)} for _, n, t, d in schema_rows()])
+
+
+def generated(spec: str) -> type:
+    """A frozen dataclass from the JSON of its fields."""
+    known = {"int": int, "bool": bool, "str": str}
+    rows = json.loads(spec)
+    if bad := [r["name"] for r in rows if r["type"] not in known]:
+        raise ValueError(f"EINVAL: types of {bad}")
+    return make_dataclass("Config", [(r["name"], known[r["type"]], field(default=r["default"])) for r in rows], frozen=True)
+
+
 #: What a zero stands for, after ``Config.resolved``.
 DEFAULTS = {"stripe_unit": 256 << 10, "stripe_threshold": 1 << 20, "batch_min_bytes": 256 << 10, "dram_entry_max_bytes": 8 << 20, "region_align_bytes": PAGE}
 

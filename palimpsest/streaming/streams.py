@@ -46,13 +46,24 @@ def tumbling(ops: DataFrame, width: str = "1 day", late: str = "1 day") -> DataF
     return w.select(F.unix_timestamp("w.start").alias("start_s"), "op", "n", "bytes")
 
 
+def sliding(ops: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Counters over windows that overlap: each operation is in width / step of them."""
+    w = ops.withWatermark("at", late).groupBy(F.window("at", width, step).alias("w"), "op").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_len").alias("bytes"))
+    return w.select(F.unix_timestamp("w.start").alias("start_s"), "op", "n", "bytes")
+
+
 def sessions(ops: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     s = ops.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "prefix_id").agg(F.count(F.lit(1)).alias("n"))
     return s.select("prefix_id", F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "n")
 
 
 def keyed_outcomes(ops: DataFrame) -> DataFrame:
-    """Outcomes with state per prefix: its leaves and its tombstone. Rows of a key in a batch are taken by seq."""
+    """Outcomes with state per prefix: its tombstone and its leaves, at most 256, as a prefix has that many groups.
+
+    Rows of a key in one batch are taken by seq.  Across batches the log must come
+    in order of seq, as an append-only log does; a row that comes after a later
+    one has been handled sees the later state.
+    """
 
     def run(key, pdfs, state):
         held = json.loads(state.get[0]) if state.exists else {"leaf": {}, "tomb": False}

@@ -375,3 +375,14 @@ def test_zipf_keys_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(workload, "BROADCAST_KEYS", 10)
     monkeypatch.setattr(workload, "STRETCH", 64)
     assert sorted(map(tuple, workload.keys(spark, 3000, 500, "zipf").collect())) == whole
+
+
+def test_config_class_from_its_schema():
+    from dataclasses import asdict
+
+    from palimpsest.sources import config
+
+    made = config.generated(config.schema_json())
+    assert asdict(made()) == asdict(Config()) and made(region_cnt=9).region_cnt == 9
+    with pytest.raises(ValueError):
+        config.generated('[{"name": "x", "type": "list", "default": 0}]')
