@@ -19,6 +19,8 @@ CODES = {"OK": 0, "HIT": 0, "ENOENT": -3, "EBUSY": -4, "EINVAL": -11, "EVICTED":
 STRIPE_THRESHOLD = 1 << 20
 #: Seqs of a stretch, in logs that span more than a few of them.
 STRETCH = 1 << 20
+#: Bytes of a log that are few enough for windows over whole prefixes.
+SMALL_LOG = 64 << 20
 
 
 def _before(*keys: str):
@@ -49,15 +51,23 @@ def last_before(df: DataFrame, keys: list[str], value: Column, out: str, chunk:
     return joined.select(*df.columns, F.coalesce("__local", "__carried").alias(out))
 
 
+def _stretch(ops: DataFrame) -> int | None:
+    """STRETCH for a log of more than four of them; a log whose files are small is not asked."""
+    if ops._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_LOG:
+        return None
+    ends = ops.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    return STRETCH if ends.a is not None and ends.b - ends.a > 4 * STRETCH else None
+
+
 def point_in_time(ops: DataFrame, chunk: int | None = None) -> DataFrame:
     """Per operation: the leaf it sees, whether its prefix is tombstoned, and its outcome.
 
-    ``chunk``: see ``last_before``; without it, logs over more than four stretches
-    of ``STRETCH`` seqs are cut into those, so that no hot prefix is one task.
+    ``chunk``: see ``last_before``; without it, logs of more than ``SMALL_LOG`` bytes
+    over more than four stretches of ``STRETCH`` seqs are cut into those, so that no
+    hot prefix is one task.
     """
     if chunk is None:
-        ends = ops.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
-        chunk = STRETCH if ends.a is not None and ends.b - ends.a > 4 * STRETCH else None
+        chunk = _stretch(ops)
     change = F.when(F.col("op").isin("PUT", "EVICT"), F.struct("op", "seq", "payload_len", "expire_ts"))
     seen = last_before(ops, ADDRESS, change, "seen", chunk)
     live = seen.withColumn("live", F.coalesce(F.col("seen.op") == "PUT", F.lit(False)))

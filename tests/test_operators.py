@@ -365,6 +365,8 @@ def test_long_logs_are_cut_into_stretches(spark, sf_dir, monkeypatch):
     ops = oplog.read(spark, sf_dir)
     whole = sorted(map(str, state.point_in_time(ops).collect()))
     monkeypatch.setattr(state, "STRETCH", 20)
+    monkeypatch.setattr(state, "SMALL_LOG", 0)
+    assert state._stretch(ops) == 20
     assert sorted(map(str, state.point_in_time(ops).collect())) == whole
 
 
