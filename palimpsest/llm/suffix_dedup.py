@@ -16,13 +16,14 @@ neighbour are repeated windows.  A task cuts what it gets into shards of about
 more; the sorter's queues hold a quarter of a shard's bytes and are on disk beyond.
 
 An anchor with more than ``HOT_SEGMENTS`` unlike segments would make one large
-shard.  Its segments are dealt again, as texts of their own, with anchors of
-another hash: about one window in a hundred then has the same anchor again.
+shard; its windows are counted by 128-bit BLAKE2 digests instead, in a shuffle that
+combines equal windows before it.
 
 Defined cases: a null text is empty: 0 bytes, nothing removed; texts shorter than
 LENGTH lose nothing; rows repeated in ``docs`` count as further occurrences; a
-null id is an id like another; an empty table gives an empty result.  Very long
-texts are read in one piece.  Other columns are ignored.
+null id is an id like another; an empty table gives an empty result.  Of a very
+long text, stretches of BUFFER_BYTES windows are looked at in turn.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -61,14 +62,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a buffer, from prefix sums of a polynomial; ``level`` gives another order of them."""
+    """Hashes of any stretch of a buffer, from prefix sums of a polynomial."""
 
-    def __init__(self, level: int = 0):
-        self.size, self.salt = 0, np.uint64(level) * _MIX
+    def __init__(self):
+        self.size = 0
 
     def _grow(self, n: int) -> None:
         if n >= self.size:
-            self.size = max(n + 1, BUFFER_BYTES + 65536)
+            self.size = max(n + 1, BUFFER_BYTES + 1024)
             self.powers, self.inverse = (np.full(self.size, b, dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
             for x in (self.powers, self.inverse):
                 x[0] = 1
@@ -99,23 +100,33 @@ def _leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments_of(texts: list[bytes], rolling: Rolling, length: int = LENGTH, gram: int = GRAM):
     """(text, first window, windows, anchor hash) of all segments of some texts."""
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    if len(data) < length:
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    data, found = np.frombuffer(b"".join(texts), dtype=np.uint8), []
+    for a in range(0, len(data) - length + 1, BUFFER_BYTES):
+        b = min(len(data) - length + 1, a + BUFFER_BYTES)  # windows a to b - 1
+        piece = data[a:b + length - 1]
+        prefix = rolling.prefix(piece)
+        grams = _mix(rolling.span(prefix, slice(0, len(piece) - gram + 1), slice(gram, None)))
+        anchor = _leftmost_least(grams, length - gram + 1)
+        for end in ends[np.searchsorted(ends, a, "right"):np.searchsorted(ends, b + length, "right")].tolist():
+            anchor[max(0, end - length + 1 - a):max(0, end - a)] = -1  # windows over a text's end
+        turn = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+        first = np.concatenate(([0], turn))
+        count = np.diff(np.append(first, len(anchor)))
+        real = anchor[first] >= 0
+        first, count = first[real], count[real]
+        found.append((first + a, count, anchor[first] + a, grams[anchor[first]]))
+    if not found:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    prefix = rolling.prefix(data)
-    grams = _mix(rolling.span(prefix, slice(0, len(data) - gram + 1), slice(gram, None)) ^ rolling.salt)
-    anchor = _leftmost_least(grams, length - gram + 1)
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)[:len(anchor)]
-    inside = np.arange(len(anchor)) + length <= ends[owner]
-    anchor = np.where(inside, anchor, -1)
-    turn = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-    first = np.concatenate(([0], turn))
-    count = np.diff(np.append(first, len(anchor)))
-    real = anchor[first] >= 0
-    first, count = first[real], count[real]
-    return owner[first], first - (ends - sizes)[owner[first]], count, grams[anchor[first]]
+    first, count, anchor, h = (np.concatenate(x) for x in zip(*found))
+    # A segment that goes over a stretch's end is one.
+    goes_on = np.zeros(len(first), dtype=bool)
+    goes_on[1:] = (anchor[1:] == anchor[:-1]) & (first[1:] == first[:-1] + count[:-1])
+    heads = np.flatnonzero(~goes_on)
+    count = np.add.reduceat(count, heads) if len(heads) else count
+    first, h = first[heads], h[heads]
+    owner = np.searchsorted(ends, first, "right")
+    return owner, first - np.concatenate(([0], ends[:-1]))[owner], count, h
 
 
 def _buffers(texts: list[bytes]):
@@ -165,9 +176,9 @@ def _unpacker():
     return lambda blob: z.decompress(blob, max_output_size=1 << 31) if blob else b""
 
 
-def _recurring(keyed: DataFrame, length: int, level: int) -> DataFrame:
+def _recurring(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        rolling = Rolling(level)
+        rolling = Rolling()
         for b in batches:
             for _, texts in _buffers(b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(segments_of(texts, rolling, length)[3].view(np.int64))], names=["h"])
@@ -186,11 +197,11 @@ def _bloom(recurring: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _anchors(keyed: DataFrame, recurring: DataFrame, length: int, level: int) -> DataFrame:
+def _anchors(keyed: DataFrame, recurring: DataFrame, length: int) -> DataFrame:
     bits = keyed.sparkSession.sparkContext.broadcast(_bloom(recurring))
 
     def run(batches):
-        rolling, known = Rolling(level), bits.value
+        rolling, known = Rolling(), bits.value
         for b in batches:
             for start, texts in _buffers(b.column(2).to_pylist()):
                 doc, first, count, h = segments_of(texts, rolling, length)
@@ -271,11 +282,25 @@ def _sort(segments: DataFrame, length: int, shards: int) -> DataFrame:
     return segments.repartition(shards, "h").mapInArrow(run, schema)
 
 
-def _dealt_again(hot: DataFrame, length: int, level: int) -> DataFrame:
-    """Marks of the windows of hot anchors' segments, each taken as a text, by anchors of the next level."""
-    again = hot.select(F.struct("doc_id", "k2", "start", "single").alias("doc_id"), F.lit(0).alias("k2"), "text")
-    marks = _repeated(again, length, level + 1).where("doc_id.single")
-    return marks.select("doc_id.doc_id", "doc_id.k2", (F.col("doc_id.start") + F.col("start")).cast("int").alias("start"), "windows")
+def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
+    """Marks of the windows of hot anchors, by counting digests of whole windows."""
+    schema = T.StructType([segments.schema["doc_id"], segments.schema["k2"], T.StructField("start", T.IntegerType()), T.StructField("single", T.BooleanType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            for begin in range(0, b.num_rows, 1000):
+                part = b.slice(begin, 1000)
+                windows = part.column("windows").to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.repeat(np.arange(part.num_rows), windows)
+                step = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
+                digest = _digests(part.column("text").to_pylist(), at, step, np.ones(len(at), dtype=np.int64), length)
+                rows = pa.array(at)
+                start = part.column("start").to_numpy(zero_copy_only=False)[at] + step
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), part.column("k2").take(rows), pa.array(start.astype(np.int32)), part.column("single").take(rows), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=schema.names)
+
+    windows = segments.mapInArrow(run, schema)
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    return windows.where("single").join(again, ["w1", "w2"], "left_semi").select("doc_id", "k2", "start", F.lit(1).cast("int").alias("windows"))
 
 
 def _segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -300,12 +325,9 @@ def _segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFram
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k2, start, windows): runs of windows of ``length`` bytes that also start elsewhere."""
-    return _repeated(_keyed(docs), length, 0)
-
-
-def _repeated(keyed: DataFrame, length: int, level: int) -> DataFrame:
-    recurring = written(_recurring(keyed, length, level), "anchors")
-    anchors = written(_anchors(keyed, recurring, length, level), "segments")
+    keyed = _keyed(docs)
+    recurring = written(_recurring(keyed, length), "anchors")
+    anchors = written(_anchors(keyed, recurring, length), "segments")
     discard(recurring)
     # Per unlike segment: how often it occurs, and one occurrence of it.
     each = anchors.groupBy("h", "seg", "seg2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2", "start", "windows")).alias("one"))
@@ -321,19 +343,19 @@ def _repeated(keyed: DataFrame, length: int, level: int) -> DataFrame:
         return whole
     texts = written(_segment_texts(keyed, wanted, length), "segment-texts")
     marks = whole.unionByName(_sort(texts.where("NOT hot"), length, max(1, -(-facts.bytes // SHARD_BYTES), keyed.sparkSession.sparkContext.defaultParallelism)))
-    return marks.unionByName(_dealt_again(texts.where("hot"), length, level)) if facts.hot else marks
+    return marks.unionByName(_hot_windows(texts.where("hot"), length)) if facts.hot else marks
 
 
 def cut(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[bytes, int, int]:
     """(what remains, bytes removed, maximal removed runs)."""
     if not len(starts):
         return text, 0, 0
-    edge = np.zeros(len(text) + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + windows - 1 + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+    order = np.argsort(starts, kind="stable")
+    begin, end = starts[order], np.maximum.accumulate((starts + windows - 1 + length)[order])
+    first = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))  # runs that touch are one
+    begin, end = begin[first], np.append(end[first[1:] - 1], end[-1])
+    kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
+    return kept, int((end - begin).sum()), len(begin)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

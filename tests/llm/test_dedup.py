@@ -68,16 +68,25 @@ def test_suffix_dedup(spark):
 
 
 def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
-    """A phrase in many contexts, some of them shared: its anchor's segments are dealt again by another hash."""
+    """A phrase in many contexts, some of them shared; and long texts, looked at in stretches."""
     monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 12)
+    monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", 300)
     rng = np.random.default_rng(6)
     noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
     phrase, sides = noise(150), [noise(120) for _ in range(4)]
     texts = [noise(100) + sides[k % 4] * (k % 3 == 0) + phrase + sides[k % 5 % 4] * (k % 2) + noise(100) for k in range(60)]
-    levels, dealt = [], suffix_dedup._dealt_again
-    monkeypatch.setattr(suffix_dedup, "_dealt_again", lambda hot, length, level: levels.append(level) or dealt(hot, length, level))
     got = removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert got == collections.Counter((k, *w) for k, w in enumerate(brute_removed([t.encode() for t in texts]))) and 0 in levels
+    assert got == collections.Counter((k, *w) for k, w in enumerate(brute_removed([t.encode() for t in texts])))
+
+
+def test_segments_do_not_depend_on_stretches(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in (0, 150, 5000, 3, 900, 200, 2000)]
+    whole = suffix_dedup.segments_of(texts, suffix_dedup.Rolling())
+    for stretch in (1, 37, 500):
+        monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", stretch)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, suffix_dedup.segments_of(texts, suffix_dedup.Rolling())))
+    assert whole[2].sum() == sum(max(0, len(t) - 199) for t in texts)
 
 
 def test_suffix_dedup_of_spooled_shards(spark, monkeypatch):
@@ -226,3 +235,39 @@ def test_near_copies_of_a_hot_key(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(brute_heads(rows))
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """The rows of run(): toxic documents by the operator's scores, everything after by plain code."""
+    from palimpsest.llm import decontaminate, toxicity
+    from tests.llm.test_text import brute_coverage, water
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = {r.row.doc_id for r in toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 0").collect()}
+    text = {r.doc_id: r for r in docs.select("doc_id", "text", "source").collect() if r.doc_id in clean}
+    first = {}
+    for i in sorted(text):
+        first.setdefault(norm(text[i].text), i)
+    near = brute_heads([(i, text[i].text) for i in sorted(first.values())])
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    index = decontaminate.Index([(b.item_id, b.text) for b in bench])
+    held = {i for i in near if index.matches(text[i].text, decontaminate.Tokens())}
+    assert {i for i in near if any(brute_coverage(b.text, text[i].text) >= 0.8 for b in bench)} <= held
+    left = near - held
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(left)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", text[i].text or "")) for i in left}
+    sources, taken = collections.Counter(), collections.Counter()
+    for i in left:
+        sources[text[i].source] += size[i]
+    want = water(dict(sources))
+    for r in rows:
+        assert r.size == size[r.doc_id] and r.source_size == sources[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s in want:  # the nearest sum that a choice of documents has
+        epochs = int(want[s] // sources[s]) if sources[s] else 0
+        budget, sums = round(want[s] - epochs * sources[s]), {0}
+        for i in left:
+            if text[i].source == s:
+                sums |= {x + size[i] for x in sums}
+        assert epochs >= 3 or abs(taken[s] - epochs * sources[s] - budget) == min(abs(x - budget) for x in sums)
