@@ -77,13 +77,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(held * F.col("weight"), F.col("cap").cast("double")))).alias("target"))
 
 
-def _moves(gap: int, lengths: list[int], back: list[int], more: list[int]) -> tuple[int, list[int] | None]:
-    """(distance to ``gap``, copies by which each length's count changes): bounded knapsack on bit sets.
+def _moves(gap: int, lengths: list[int], back: list[int], more: list[int]) -> tuple[int, list[int], bool]:
+    """(distance to ``gap``, copies by which each length's count changes, whether all lengths were tried).
 
-    A length may change by -back to +more copies; ``lengths`` ascend, so that sums stay
-    short.  The changes are None if the bit sets outgrew ``WORK_BITS``.
+    Bounded knapsack on bit sets.  A length may change by -back to +more copies;
+    ``lengths`` ascend, so that sums stay short.  Lengths beyond ``WORK_BITS`` are not tried.
     """
-    reach, offset, held, steps = 1, 0, 0, []  # bit s of reach: the sum s - offset can be had
+    reach, offset, held, whole, steps = 1, 0, 0, True, []  # bit s of reach: the sum s - offset can be had
     for k, length in enumerate(lengths):
         left, part = back[k] + more[k], 1
         offset += back[k] * length
@@ -91,12 +91,11 @@ def _moves(gap: int, lengths: list[int], back: list[int], more: list[int]) -> tu
             part = min(part, left)
             steps.append((k, part, length * part, reach))
             held += reach.bit_length()
-            if held > WORK_BITS:
-                return 1 << 62, None
             reach |= reach << (length * part)
             left -= part
             part *= 2
-        if gap + offset >= 0 and reach >> (gap + offset) & 1:
+        whole = held <= WORK_BITS
+        if not whole or (gap + offset >= 0 and reach >> (gap + offset) & 1):
             lengths = lengths[:k + 1]
             break
     at = max(0, gap + offset)
@@ -107,7 +106,7 @@ def _moves(gap: int, lengths: list[int], back: list[int], more: list[int]) -> tu
         if not had >> best & 1:
             change[k] += part
             best -= weight
-    return distance, [c - b for c, b in zip(change, back)]
+    return distance, [c - b for c, b in zip(change, back)], whole
 
 
 def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -132,14 +131,12 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     room = 1
     while gap:
         back, more = [min(n, room) for n in taken], [min(c - n, room) for c, n in zip(count, taken)]
-        distance, change = _moves(gap, size, back, more)
-        if change is None:
-            break
+        distance, change, whole = _moves(gap, size, back, more)
         if distance < abs(gap) or not distance:
             for j, c in enumerate(change):
                 taken[j] += c
                 gap -= c * size[j]
-        if not distance or all(b == n and m == c - n for b, m, n, c in zip(back, more, taken, count)):
+        if not distance or not whole or all(b == n and m == c - n for b, m, n, c in zip(back, more, taken, count)):
             break
         if room >= max(count):
             break

@@ -319,6 +319,10 @@ def test_budgets_of_many_lengths():
         lengths, counts = rng.choice(np.arange(low, high), m, replace=False), rng.integers(1, most + 1, m)
         budget = int((lengths * counts).sum()) // 3 + 7
         assert int((lengths * mixing.choose(lengths, counts, budget)).sum()) == budget
+    lengths = np.append(np.arange(100, 1_000_000, 100), 51)  # only the one of 51 words changes the last digits
+    counts = np.append(np.full(len(lengths) - 1, 5), 1)
+    budget = int((lengths * counts).sum()) // 200 * 100 + 33
+    assert abs(int((lengths * mixing.choose(lengths, counts, budget)).sum()) - budget) == 18
     assert mixing.choose(np.array([0, 0]), np.array([3, 1]), 5).tolist() == [0, 0] and not len(mixing.choose(np.array([]), np.array([]), 0))
 
 
