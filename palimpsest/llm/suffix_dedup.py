@@ -13,7 +13,7 @@ Sorting.  A shard's segments are sorted by external induced sorting with
 common-prefix values (``suffix_sort``); suffixes that share LENGTH bytes with a
 neighbour are repeated windows.  A task cuts what it gets into shards of about
 ``SHARD_BYTES`` by anchor, through files of its scratch folder if it is much
-more; the sorter's queues hold a quarter of a shard's bytes and are on disk beyond.
+more; the sorter's queues hold a fifth of a shard's tuples and are on disk beyond.
 
 An anchor with more than ``HOT_SEGMENTS`` unlike segments would make one large
 shard; its windows are counted by 128-bit BLAKE2 digests instead, in a shuffle that
@@ -225,7 +225,7 @@ def sort_shard(segments: list[bytes], scratch: str, length: int = LENGTH):
     """(segment, first window, windows) of the runs of windows that recur among the segments."""
     table = ((254 - np.arange(256)) % 256).astype(np.uint8)  # fixed value: bytes 0xF8 to 0xFF are in no UTF-8 text, so 0 is free
     text = table[np.frombuffer(b"\xfe".join(segments) + b"\xfe", dtype=np.uint8)]
-    shared = SuffixSorter(text, scratch, length, max(1 << 10, len(text) // 4)).run()
+    shared = SuffixSorter(text, scratch, length, max(1 << 10, len(text))).run()  # a fifth of its tuples
     sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)) + 1
     begin = np.cumsum(sizes) - sizes
     start, count = _flagged_runs(shared)

@@ -140,7 +140,7 @@ class SuffixSorter:
         path = os.path.join(self.scratch, f"{name}{uuid.uuid4().hex}")
         out = np.memmap(path, dtype=kind, mode="w+", shape=(max(1, n),))
         os.unlink(path)
-        return out[:n]
+        return np.asarray(out)[:n]  # a plain view: cheaper to index
 
     # Common prefixes by comparison: for local minima and for the seams of batches.
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
