@@ -20,7 +20,7 @@ from palimpsest.llm.common import discard, written
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (columns a, b): root is the smallest node reachable."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while True:
+    while edges.limit(1).count():
         # Large star: larger neighbours of a node move to the node's smallest neighbour (or itself).
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         discard(edges)
         # Done when every node has one neighbour, and no neighbour has one of its own.
         nodes = new.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        pending = nodes.where("n > 1").limit(1).count() + new.select(F.col("v").alias("u")).distinct().join(nodes, "u", "left_semi").limit(1).count()
+        pending = nodes.where("n > 1").select("u").union(new.select(F.col("v").alias("u")).join(nodes, "u", "left_semi")).limit(1).count()
         edges = new
         if not pending:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -50,7 +50,9 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 
 #: Fixed value: characters of scripts without spaces between words (Thai, kana, Han).
 UNSPACED = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
-TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d{UNSPACED}]+|[{UNSPACED}]|[.!?\n]")
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]+|[.!?\n]")
+TOKEN_UNSPACED = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d{UNSPACED}]+|[{UNSPACED}]|[.!?\n]")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
 NUMBER, UNIT, NAME, BREAK, SPELT = 1, 2, 4, 8, 16
 _SLOT = {NUMBER: 0x1234567, UNIT: 0x2345678, NAME: 0x3456789}
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
@@ -81,7 +83,8 @@ def canonical(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray,
     ``run`` is NAME or SPELT where a token is a name or a number word, else 0.
     """
     get = cache.__getitem__
-    found = TOKEN.findall(text) if text else []
+    pattern = TOKEN if not text or text.isascii() or not ANY_UNSPACED.search(text) else TOKEN_UNSPACED
+    found = pattern.findall(text) if text else []
     codes = np.fromiter(map(get, found), dtype=np.int64, count=len(found))
     flags = codes & 31
     is_break = flags == BREAK
@@ -129,10 +132,11 @@ class Index:
 
     def __init__(self, items: list[tuple], runs: bool = False):
         cache, hashes, owner, place = Tokens(), [], [], []
-        self.items, self.short, self.of_runs = [], {}, None if runs else Index(items, True)
+        self.items, self.short, self.of_runs, self.changed = [], {}, None if runs else Index(items, True), False
         for item_id, text in items:
             found = canonical(text, cache)
             codes, template, kind = merged(*found) if runs else found[:3]
+            self.changed |= len(codes) < len(found[0])
             if len(codes) < WINDOW:
                 if len(codes):
                     self.short.setdefault(codes.tobytes(), []).append(item_id)
@@ -167,8 +171,10 @@ class Index:
         found = self._search(codes, template)
         if found is None:  # no window of any item
             return []
-        have = {m[0] for m in found}
-        return found + [m for m in self.of_runs._search(*merged(codes, template, kind, run)[:2]) or () if m[0] not in have]
+        have, one = {m[0] for m in found}, merged(codes, template, kind, run)
+        if len(one[0]) == len(codes) and not self.of_runs.changed:  # no run on either side
+            return found
+        return found + [m for m in self.of_runs._search(*one[:2]) or () if m[0] not in have]
 
     def _search(self, codes: np.ndarray, template: np.ndarray) -> list[tuple] | None:
         if not len(self.hashes) or len(codes) < WINDOW:

@@ -7,12 +7,15 @@ groups, further heads are drawn from all but its largest group and compared with
 the texts of other groups, until every pair of a key has been compared or is in
 one group.  A round draws about ``HEADS`` texts a key, or more while its pairs
 are at most ``PAIRS`` times the rows of the table of keys.  Heads are picked and
-compared by joins: no key's texts are gathered, and a key of near copies costs a
-comparison a text, not all pairs.
+compared by joins: no key's texts are gathered, and a key of near copies costs a comparison a
+text, not all pairs.  A comparison begins with signatures, of which pairs of the
+wanted similarity hold all but about one in a million; whole texts decide.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +26,9 @@ from palimpsest.llm.common import discard, written
 from palimpsest.llm.components import components
 
 BANDS, BAND_ROWS = 24, 4
-HEADS, PAIRS = 64, 4
+HEADS, PAIRS = 64, 16
+#: Chance that a pair of just the wanted similarity fails by its signatures.
+SIGNATURE_MISS = 1e-6
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64)[:, None]
 _ODD = (_RNG.integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) | np.uint64(1))[:, None]
@@ -56,8 +61,11 @@ def shingle_set(text: bytes | None, size: int, cache: Words) -> np.ndarray:
     return np.unique(out * _MIX[0])
 
 
-def min_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key of each band of least values: two sets of similarity s share one of a band with probability s ** BAND_ROWS."""
+def min_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key of each band of least values, and the signature: a byte of each.
+
+    Two sets of similarity s share one band's key with probability s ** BAND_ROWS.
+    """
     least = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype=np.uint64)
     for k in range(0, len(hashes), 4096):  # bounded for very long texts
         least = np.minimum(least, ((hashes[None, k:k + 4096] ^ _XOR) * _ODD).min(1))
@@ -65,7 +73,29 @@ def min_keys(hashes: np.ndarray) -> np.ndarray:
     for j in range(BAND_ROWS):
         out = (out ^ least[j::BAND_ROWS]) * _MIX[j]
         out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    return out.view(np.int64), ((least * _MIX[1]) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def least_equal(similarity: float, miss: float = SIGNATURE_MISS) -> int:
+    """Most bytes of a signature that all but ``miss`` of the pairs of this similarity have equal, by the binomial law."""
+    n, total = BANDS * BAND_ROWS, 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+        if total > miss:
+            return k
+    return n
+
+
+def _by_signature(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, sig, h_sig) whose signatures agree enough."""
+    enough, size = least_equal(similarity), BANDS * BAND_ROWS
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, size) for k in (2, 3))
+            yield batch.select([0, 1]).take(pa.array(np.flatnonzero((one == two).sum(1) >= enough)))
+
+    return pairs.select("a", "b", "sig", "h_sig").mapInArrow(run, "a long, b long")
 
 
 def alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -93,30 +123,31 @@ def alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> D
 def similar_links(texts: DataFrame, sizes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
     """Roots (node, root) of the groups that the alike pairs among texts of one key make.
 
-    ``keyed`` (key, at) has a row for each key of a text; ``sizes`` (at, n) its number of shingles.
+    ``keyed`` (key, at) has a row for each key of a text; ``sizes`` (at, n, sig) its number of shingles and signature.
     """
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first")).where("rows > 1").select("key", "first")
-    member = written(keyed.join(shared, "key").join(sizes, "at").select("key", "at", "n", (F.col("at") == F.col("first")).alias("head")), "members")
+    member = written(keyed.join(shared, "key").join(sizes, "at").select("key", "at", "n", "sig", (F.col("at") == F.col("first")).alias("head")), "members")
     room, found, roots, turn = PAIRS * member.count(), None, None, 0
     while True:
         heads = member.where("head").select("key", *[F.col(c).alias(f"h_{c}") for c in member.columns if c not in ("key", "head")])
         near = (F.least("n", "h_n") >= F.greatest("n", "h_n") * similarity - 1e-9) & (F.col("at") != F.col("h_at"))
         if roots is not None:
             near &= F.col("root") != F.col("h_root")
-        pairs = written(member.join(heads, "key").where(near).select(F.least("h_at", "at").alias("a"), F.greatest("h_at", "at").alias("b")).distinct(), "pairs")
+        met = member.join(heads, "key").where(near).select(F.least("h_at", "at").alias("a"), F.greatest("h_at", "at").alias("b"), "sig", "h_sig")
+        pairs = written(_by_signature(met, similarity).distinct(), "pairs")
         fresh = written(alike(texts, pairs, size, similarity), "alike")
         discard(pairs)
         found = fresh if found is None else written(found.union(fresh), "alike")
         roots = components(found)
         # Heads have met all others of their key; what remains of a key is open while it is in several groups.
-        rest = member.where("NOT head").select("key", "at", "n").join(roots.withColumnsRenamed({"node": "at"}), "at", "left").withColumn("root", F.coalesce("root", "at"))
+        rest = member.where("NOT head").select("key", "at", "n", "sig").join(roots.withColumnsRenamed({"node": "at"}), "at", "left").withColumn("root", F.coalesce("root", "at"))
         groups = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
         of_key = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.max_by("root", F.struct("rows", "root")).alias("largest")).where("groups > 1")
-        after = written(rest.join(of_key, "key").select("key", "at", "n", "root", (F.col("root") != F.col("largest")).alias("small"), "all", (F.col("all") - F.col("most")).alias("others")), "open")
+        after = written(rest.join(of_key, "key").select("key", "at", "n", "sig", "root", (F.col("root") != F.col("largest")).alias("small"), "all", (F.col("all") - F.col("most")).alias("others")), "open")
         open_pairs = after.where("small").agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
         share, turn = min(1.0, room / max(1, open_pairs)), turn + 1
         drawn = F.pmod(F.xxhash64("at", "key", F.lit(turn)), F.lit(1 << 20)) < F.greatest(F.lit(share), F.lit(HEADS) / F.col("others")) * (1 << 20)
-        new = written(after.select("key", "at", "n", "root", (F.col("small") & drawn).alias("head")), "members")
+        new = written(after.select("key", "at", "n", "sig", "root", (F.col("small") & drawn).alias("head")), "members")
         discard(after)
         discard(member)
         member = new

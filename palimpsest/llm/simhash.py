@@ -241,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shingles within ``r`` bits) and, as texts of that similarity differ in about
     10 bits, where triangle bounds prune nothing, texts that share one of their
     keys of least shingle hashes (a pair of similarity 0.8 shares none with
-    probability 3e-6).
+    probability 3e-6, and is left out by its signatures with one in a million).
 
     A null or empty text has one shingle, the empty one.  Of rows that share the
     group's smallest id one stays; a null id comes last.  Columns are carried,
@@ -256,15 +256,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             sets = [shingle_set(t, shingle, cache) for t in raw]
             fps = np.fromiter((fingerprint_of(t.lower().split(), shingle) if t else 0 for t in raw), dtype=np.uint64, count=len(raw))
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([min_keys(s) for s in sets]) if sets else np.empty(0, np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), keys], names=["at", "n", "fp", "keys"])
+            least = [min_keys(s) for s in sets]
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([k for k, _ in least]) if sets else np.empty(0, np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), keys, pa.array([g for _, g in least], pa.binary())], names=["at", "n", "fp", "keys", "sig"])
 
-    sketch = written(texts.mapInArrow(run, "at long, n long, fp long, keys array<long>"), "sketches")
+    sketch = written(texts.mapInArrow(run, "at long, n long, fp long, keys array<long>, sig binary"), "sketches")
     distinct = sketch.select("fp").distinct()
     near = components(links(written(distinct, "fingerprints"), r))
     by_tree = sketch.join(near, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("key"), "at")
     keyed = by_tree.union(sketch.select(F.explode("keys").alias("key"), "at"))
-    roots = written(similar_links(texts, sketch.select("at", "n"), keyed, shingle, similarity), "near-groups")
+    roots = written(similar_links(texts, sketch.select("at", "n", "sig"), keyed, shingle, similarity), "near-groups")
     ids = rows.select("at", F.struct(the_id.isNull().alias("none"), the_id.alias("id"), "at").alias("order"))
     member = roots.withColumnsRenamed({"node": "at"}).union(roots.select(F.col("root").alias("at"), "root").distinct()).join(ids, "at")
     first = member.groupBy("root").agg(F.min("order").alias("first"))
