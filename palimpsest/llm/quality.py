@@ -158,7 +158,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFr
     chars = F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.length("text").cast("long")
     rows = docs.select("doc_id", chars.alias("n_chars"), "text")
     held = remainder_of_crc(F.col("doc_id"), 4) == 2
-    sample = training_sample(rows.select("doc_id", F.concat(F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit("\x00"), "text").alias("text")), labels, "quality", limit, held)
+    sample = training_sample(rows, labels, "quality", limit, held, lead=F.coalesce(F.col("n_chars").cast("string"), F.lit("")))
     model = docs.sparkSession.sparkContext.broadcast(trained(sample, lambda rows: train([(y, t, int(c) if c else None) for y, x in rows for c, _, t in [x.partition("\x00")]])))
 
     def run(batches):

@@ -53,19 +53,20 @@ def stretch(text: Column, key: Column, most_chars: int) -> Column:
     return text.substr(start, F.lit(most_chars))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out, seed: int = 5, most_chars: int = 40_000) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, held_out, seed: int = 5, most_chars: int = 40_000, lead: Column | None = None) -> DataFrame:
     """At most ``limit`` rows (label, text) of the labelled rows that may be learnt from, in seeded order.
 
     Ids with both labels are left out, and so are labels without a text.  Of a text
     of more than ``most_chars`` characters a stretch is learnt from, so that the
-    sample is bounded in bytes too.
+    sample is bounded in bytes too.  ``lead`` is put before it, with a zero character.
     """
     known = labels.select("doc_id", F.col(label).try_cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out)
     sure = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
     there = docs.where(F.col("text").isNotNull())
     # Ids are drawn first, from narrow rows: at most ``limit`` of them, so they can be broadcast, and no other text moves.
     drawn = sure.join(there.select("doc_id"), "doc_id", "left_semi").withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).orderBy("o", "doc_id").limit(limit)
-    rows = there.select("doc_id", stretch(F.col("text"), F.col("doc_id"), most_chars).alias("text"))
+    piece = stretch(F.col("text"), F.col("doc_id"), most_chars)
+    rows = there.select("doc_id", (piece if lead is None else F.concat(lead, F.lit("\x00"), piece)).alias("text"))
     return rows.join(F.broadcast(drawn), "doc_id").orderBy("o", "doc_id", "text").limit(limit).select("label", "text")
 
 

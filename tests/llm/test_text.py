@@ -75,6 +75,10 @@ def test_sample_is_refilled_and_labels_agree(spark):
     marks = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 1), (4, 1), (4, 1), (5, 0), (77, 1)], "doc_id long, toxic int")
     got = textclf.training_sample(docs, marks, "toxic", 3, F.lit(False)).collect()
     assert sorted((r.label, len(r.text)) for r in got) == [(0, 1), (1, 1), (1, 40_000)]
+    led = textclf.training_sample(docs, marks, "toxic", 3, F.lit(False), lead=F.lit("12")).collect()
+    assert {r.text[:3] for r in led} == {"12\x00"} and max(len(r.text) for r in led) == 40_003
+    quality_rows = docs.withColumn("n_chars", F.length("text"))
+    assert quality.score(quality_rows, marks.withColumnRenamed("toxic", "quality")).count() == 5
 
 
 def test_ftrl_against_scalars(monkeypatch):
