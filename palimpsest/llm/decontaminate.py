@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import released
 from palimpsest.llm.textclf import in_pieces
 
 WINDOW = 5
@@ -331,7 +332,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if at:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at))], names=["row"])
 
-        kept = rows.mapInArrow(run, T.StructType([rows.schema["row"]]))
+        kept = rows.mapInArrow(released(run), T.StructType([rows.schema["row"]]))
         out = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     return out
 

@@ -175,7 +175,7 @@ def training_rows(docs: DataFrame, held_out, limit: int = TRAIN_ROWS, most_chars
 def identify(docs: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of docs (doc_id, text, lang)."""
     held = remainder_of_crc(F.col("doc_id"), 5) == 0
-    model = docs.sparkSession.sparkContext.broadcast(trained(training_rows(docs, held, limit), train))
+    model = docs.sparkSession.sparkContext.broadcast(trained(training_rows(docs, held, limit), lambda rows: train(list(rows))))
     rows = docs.select("doc_id", "text")
 
     def run(batches):

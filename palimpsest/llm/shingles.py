@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, written
+from palimpsest.llm.common import discard, released, written
 from palimpsest.llm.components import components
 
 BANDS, BAND_ROWS = 24, 4
@@ -117,7 +117,7 @@ def alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> D
     text = F.col("text").cast("binary")
     second = pairs.join(texts.select(F.col("at").alias("b"), text.alias("text_b")), "b")
     both = second.join(texts.select(F.col("at").alias("a"), text.alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long")
 
 
 def similar_links(texts: DataFrame, sizes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:

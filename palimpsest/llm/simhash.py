@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import released, written
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import BANDS, Words, min_keys, shingle_set, similar_links
 
@@ -260,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([k for k, _ in least]) if sets else np.empty(0, np.int64)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), keys, pa.array([g for _, g in least], pa.binary())], names=["at", "n", "fp", "keys", "sig"])
 
-    sketch = written(texts.mapInArrow(run, "at long, n long, fp long, keys array<long>, sig binary"), "sketches")
+    sketch = written(texts.mapInArrow(released(run), "at long, n long, fp long, keys array<long>, sig binary"), "sketches")
     distinct = sketch.select("fp").distinct()
     near = components(links(written(distinct, "fingerprints"), r))
     by_tree = sketch.join(near, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("key"), "at")

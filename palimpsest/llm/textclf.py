@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import released
+
 #: Fixed value: characters cut from both ends of a token.
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&+-=_/\\~`^@"
 
@@ -71,13 +73,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
 
 
 def trained(sample: DataFrame, train):
-    """``train`` of the rows of a bounded sample, run in one task so that the driver holds the model alone."""
+    """``train`` of an iterator of a bounded sample's rows, run in one task so that the driver holds the model alone."""
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        rows = (r for b in batches for k in range(0, b.num_rows, 256) for r in zip(*(c.to_pylist() for c in b.slice(k, 256).columns)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    found = sample.coalesce(1).mapInArrow(released(run), "model binary").first()
     return pickle.loads(found.model) if found else train([])  # an empty table may have no task at all
 
 

@@ -16,13 +16,15 @@ their names.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import remainder_of_crc
+from palimpsest.llm.common import released, remainder_of_crc
 from palimpsest.llm.textclf import TokenCodes, in_pieces, sigmoid, token_batch, trained, training_sample
 
 BITS = 23
@@ -55,38 +57,70 @@ def distinct(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(rows: list) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots with a weight, their weights, intercept) from rows (label, text)."""
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), -35.0
-    codes, docs = TokenCodes(), []
-    for k in range(0, len(rows), 256):
-        texts = [r[1] for r in rows[k:k + 256]]
-        doc, slot = distinct(*slots(*token_batch(texts, codes)))
-        docs += np.split(slot.astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts))))
-    seen = np.zeros(1 << BITS, dtype=np.int32)
-    for i in docs:
-        seen[i] += 1
-    docs = [i[seen[i] >= LEAST_DOCS] for i in docs]
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rng = np.random.default_rng(3)
-    last = 1 << BITS  # the intercept, without L1
-    for _ in range(EPOCHS):
-        for k in rng.permutation(len(docs)):
-            i = docs[k]
-            zi, ni = z[i], n[i]
-            w = np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
-            b = -z[last] / ((BETA + np.sqrt(n[last])) / ALPHA + L2)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y[k]
-            for at, now in ((i, w), (last, b)):
-                s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-                z[at] += g - s * now
-                n[at] += g * g
-    w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
-    b = -z[last] / ((BETA + np.sqrt(n[last])) / ALPHA + L2)
-    at = np.flatnonzero(w[:last]).astype(np.int32)
-    return at, w[at].astype(np.float32), float(b)
+def _in_blocks(rows, most: int = 256, most_chars: int = 500_000):
+    """Lists of at most ``most`` rows, cut after about so many characters."""
+    block, held = [], 0
+    for row in rows:
+        block.append(row)
+        held += len(row[1] or "")
+        if len(block) >= most or held >= most_chars:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def train(rows) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots with a weight, their weights, intercept) from rows (label, text), which are taken block by block.
+
+    The documents' slots wait in a file; in memory are a byte a slot, then what is learnt of the slots of LEAST_DOCS documents.
+    """
+    with tempfile.TemporaryFile() as store:
+        y, sizes, codes, seen = [], [], TokenCodes(), np.zeros(1 << BITS, dtype=np.uint8)
+        for block in _in_blocks(rows):
+            doc, slot = distinct(*slots(*token_batch([r[1] for r in block], codes)))
+            store.write(slot.astype(np.int32).tobytes())
+            for i in np.split(slot, np.searchsorted(doc, np.arange(1, len(block)))):
+                seen[i] = np.minimum(seen[i] + 1, LEAST_DOCS)
+                sizes.append(len(i))
+            y += [r[0] for r in block]
+        del codes
+        store.flush()
+        y, ends = np.array(y, dtype=np.float64), np.cumsum(sizes, dtype=np.int64)
+        if not len(y) or y.min() == y.max():
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32), -35.0
+        learnt = np.flatnonzero(seen >= LEAST_DOCS).astype(np.int32)
+        place = np.full(1 << BITS, -1, dtype=np.int32)
+        place[learnt] = np.arange(len(learnt))
+        del seen
+        # Each document's learnt slots, by their place, at the begin of its own stretch.
+        flat = np.memmap(store, dtype=np.int32, mode="r+") if ends[-1] else np.empty(0, dtype=np.int32)
+        begins = ends - sizes
+        for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+            i = place[flat[a:b]]
+            i = i[i >= 0]
+            flat[a:a + len(i)] = i
+            ends[k] = a + len(i)
+        del place
+        docs = [np.asarray(flat[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
+        last = len(learnt)  # the intercept, without L1
+        z, n = np.zeros(last + 1), np.zeros(last + 1)
+        rng = np.random.default_rng(3)
+        for _ in range(EPOCHS):
+            for k in rng.permutation(len(docs)):
+                i = docs[k]
+                zi, ni = z[i], n[i]
+                w = np.where(np.abs(zi) > L1, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2), 0.0)
+                b = -z[last] / ((BETA + np.sqrt(n[last])) / ALPHA + L2)
+                g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y[k]
+                for at, now in ((i, w), (last, b)):
+                    s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+                    z[at] += g - s * now
+                    n[at] += g * g
+        w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
+        b = -z[last] / ((BETA + np.sqrt(n[last])) / ALPHA + L2)
+        at = np.flatnonzero(w[:last])
+        return learnt[at], w[at].astype(np.float32), float(b)
 
 
 def score_batch(texts: list, weights: np.ndarray, bias: float, codes: TokenCodes) -> np.ndarray:
@@ -110,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, li
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in carry or ["doc_id"]]).alias("row"), "text")
     fields = [rows.schema["row"], T.StructField("score", T.DoubleType())]
-    scored = rows.mapInArrow(run, T.StructType(fields))
+    scored = rows.mapInArrow(released(run), T.StructType(fields))
     held = (remainder_of_crc(F.col("row.doc_id"), 4) == 2) if "doc_id" in (carry or ["doc_id"]) else F.lit(None).cast("boolean")
     return scored.select("row", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

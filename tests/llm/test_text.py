@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,6 +117,20 @@ def test_ftrl_against_scalars(monkeypatch):
     assert np.allclose(toxicity.score_batch(texts, np.bincount(at, values, 1 << toxicity.BITS).astype(np.float32), bias, textclf.TokenCodes()), [1 / (1 + math.exp(-sum(weight(i) for i in inputs(t)))) for t in texts], atol=1e-5)
 
 
+def test_training_holds_neither_texts_nor_all_slots():
+    rows = [(k % 2, f"{'vile' if k % 2 else 'kind'} words number {k % 7} here") for k in range(400)]
+    tracemalloc.start()
+    at, values, bias = toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and len(at)
+    blocks = [len(block) for block in toxicity._in_blocks((0, t) for t in ["x" * 200_000] * 7 + [None] * 600)]
+    assert sum(blocks) == 607 and blocks[0] == 3 and max(blocks) <= 256
+    again = toxicity.train(iter(rows))
+    assert np.array_equal(at, again[0]) and np.array_equal(values, again[1]) and bias == again[2]
+    assert not len(toxicity.train([(0, ""), (1, None)])[0])
+
+
 def test_language_votes_against_scalars():
     rng = np.random.default_rng(5)
     letters = {"en": "etaoin", "de": "enisra", "fr": "esaitn", "es": "eaosrn", "xx": "zqxjk"}
