@@ -43,11 +43,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
+def few_files(spark: SparkSession) -> int:
+    """Tasks that write where partitions are small: up to four partitions each, but eight tasks a core."""
+    return max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends here.
+
+    With ``few`` in at most ``few_files`` files.  On a local file system Hadoop
+    starts a process (chmod) for each folder, file and checksum that a task
+    makes, which for an instant looks as large as the whole executor.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(few_files(spark)) if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import discard, written
+from palimpsest.llm.common import discard, released, written
 from palimpsest.llm.suffix_sort import SEPARATOR, SuffixSorter
 
 LENGTH = 200
@@ -166,7 +166,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "k2", "packed"])
 
-    return keyed.mapInArrow(run, T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], T.StructField("packed", T.BinaryType())]))
+    return keyed.mapInArrow(released(run), T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], T.StructField("packed", T.BinaryType())]))
 
 
 def _unpacker():
@@ -183,7 +183,7 @@ def _recurring(keyed: DataFrame, length: int) -> DataFrame:
             for _, texts in _buffers(b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(segments_of(texts, rolling, length)[3].view(np.int64))], names=["h"])
 
-    return keyed.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    return keyed.select("text").mapInArrow(released(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
 def _bloom(recurring: DataFrame) -> np.ndarray:
@@ -213,7 +213,7 @@ def _anchors(keyed: DataFrame, recurring: DataFrame, length: int) -> DataFrame:
                     b.column(0).take(at), b.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
                     pa.array(h[keep].view(np.int64)), pa.array(seg[:, 0]), pa.array(seg[:, 1])], names=["doc_id", "k2", "start", "windows", "h", "seg", "seg2"])
 
-    return keyed.mapInArrow(run, T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], *[T.StructField(n, T.IntegerType()) for n in ("start", "windows")], *[T.StructField(n, T.LongType()) for n in ("h", "seg", "seg2")]]))
+    return keyed.mapInArrow(released(run), T.StructType([keyed.schema["doc_id"], keyed.schema["k2"], *[T.StructField(n, T.IntegerType()) for n in ("start", "windows")], *[T.StructField(n, T.LongType()) for n in ("h", "seg", "seg2")]]))
 
 
 def _flagged_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def _sort(segments: DataFrame, length: int, shards: int) -> DataFrame:
                 if table.num_rows:
                     yield from solve(table, scratch)
 
-    return segments.repartition(shards, "h").mapInArrow(run, schema)
+    return segments.repartition(shards, "h").mapInArrow(released(run), schema)
 
 
 def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
                 start = part.column("start").to_numpy(zero_copy_only=False)[at] + step
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), part.column("k2").take(rows), pa.array(start.astype(np.int32)), part.column("single").take(rows), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=schema.names)
 
-    windows = segments.mapInArrow(run, schema)
+    windows = segments.mapInArrow(released(run), schema)
     again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     return windows.where("single").join(again, ["w1", "w2"], "left_semi").select("doc_id", "k2", "start", F.lit(1).cast("int").alias("windows"))
 
@@ -320,19 +320,19 @@ def _segment_texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 pieces = pa.array([text[a:a + n - 1 + length] for a, n in zip(start, windows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), found.field("start"), found.field("windows"), found.field("h"), found.field("single"), found.field("hot"), pieces], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, k2, start, windows): runs of windows of ``length`` bytes that also start elsewhere."""
     keyed = _keyed(docs)
-    recurring = written(_recurring(keyed, length), "anchors")
-    anchors = written(_anchors(keyed, recurring, length), "segments")
+    recurring = written(_recurring(keyed, length), "anchors", few=True)
+    anchors = written(_anchors(keyed, recurring, length), "segments", few=True)
     discard(recurring)
     # Per unlike segment: how often it occurs, and one occurrence of it.
     each = anchors.groupBy("h", "seg", "seg2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2", "start", "windows")).alias("one"))
     per_anchor = each.groupBy(F.col("h").alias("a")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unlike")).where("total > 1")
-    groups = written(each.join(per_anchor, F.col("h") == F.col("a")).select("h", "seg", "seg2", "n", "unlike", "one"), "groups")
+    groups = written(each.join(per_anchor, F.col("h") == F.col("a")).select("h", "seg", "seg2", "n", "unlike", "one"), "groups", few=True)
     # Occurrences of segments that recur as a whole; the most frequent ones, at most HOT_PARTS, without a shuffle.
     key, often = ["h", "seg", "seg2"], F.col("n") * HOT_PARTS > anchors.count()
     common = F.broadcast(groups.where((F.col("n") > 1) & often).select(*key))
@@ -341,7 +341,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     facts = wanted.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0)).alias("bytes"), F.count_if("hot").alias("hot")).first()
     if not facts.bytes:
         return whole
-    texts = written(_segment_texts(keyed, wanted, length), "segment-texts")
+    texts = written(_segment_texts(keyed, wanted, length), "segment-texts", few=True)
     marks = whole.unionByName(_sort(texts.where("NOT hot"), length, max(1, -(-facts.bytes // SHARD_BYTES), keyed.sparkSession.sparkContext.defaultParallelism)))
     return marks.unionByName(_hot_windows(texts.where("hot"), length)) if facts.hot else marks
 
@@ -361,7 +361,7 @@ def cut(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LENG
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text, n_bytes, n_removed, n_spans, kept_sha256): text holds the remaining bytes."""
     keyed = _keyed(docs)
-    marks = written(repeated_windows(docs, length), "marks")
+    marks = written(repeated_windows(docs, length), "marks", few=True)
     by_doc = marks.groupBy(F.col("doc_id").alias("d"), F.col("k2").alias("k")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     joined = _packed(keyed).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k2") == F.col("k")), "left").select("doc_id", "packed", "marks")
     schema = T.StructType([keyed.schema["doc_id"], T.StructField("text", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import tempfile
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import exact_dedup, shingles, simhash, suffix_dedup, suffix_sort
+from palimpsest.llm.common import few_files
 from palimpsest.llm.components import components
 from palimpsest.llm.suffix_sort import SuffixSorter
 from tests.llm.data import ROWS, documents, empty
@@ -67,6 +70,21 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_writes_few_files(spark, monkeypatch):
+    """Many small partitions do not make as many files, and so processes that set their rights."""
+    counts, parquet = {}, DataFrameWriter.parquet
+
+    def counted(self, path, *args, **more):
+        parquet(self, path, *args, **more)
+        counts[path.rsplit("/", 1)[1].rsplit("-", 1)[0]] = len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*")))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    texts = spark.range(0, 400, 1, 100).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.md5((F.col("id") % 200).cast("string")), F.lit(" ")), 12).alias("text"))
+    want = collections.Counter((k, *w) for k, w in enumerate(brute_removed([r.text.encode() for r in texts.orderBy("doc_id").collect()])))
+    assert removed(texts) == want
+    assert {"anchors", "segments", "groups", "marks"} <= set(counts) and max(counts.values()) <= few_files(spark) < 100
+
+
 def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
     """A phrase in many contexts, some of them shared; and long texts, looked at in stretches."""
     monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 12)
