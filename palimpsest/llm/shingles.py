@@ -1,7 +1,17 @@
 """Word shingles of whole texts, keys that bring similar texts together, and the exact check of pairs.
 
 Part of the near-dedup operator (``simhash``).  Texts that share a key are
-candidates.  Of each key one text, its head, is compared with the others; texts
+candidates.  A key of more than ``SMALL`` texts is first dealt into finer keys
+(``finer_keys``).  Its texts are compared with one of them, its pivot, and what a
+text has that the pivot has not becomes its new keys, rarest first and only as
+many as a pair needs to meet: of sets A and B with rA and rB hashes of the pivot
+missing, aA and aB added and o of those in both, at least
+|rA - rB| + aA + aB - 2 o differ, and of an alike pair at most
+q (|A| + |B|), q = (1 - similarity) / (1 + similarity).  So a text far from the
+pivot meets those alone that share its changes; texts that may be alike without
+a shared addition keep a key together.  No pair of the wanted similarity is lost.
+
+Of each key then one text, its head, is compared with the others; texts
 that are then in one group need nothing more.  Where a key still holds several
 groups, further heads are drawn from all but its largest group and compared with
 the texts of other groups, until every pair of a key has been compared or is in
@@ -19,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, released, written
@@ -27,6 +37,8 @@ from palimpsest.llm.components import components
 
 BANDS, BAND_ROWS = 24, 4
 HEADS, PAIRS = 64, 16
+#: Texts of a key that is not dealt into finer ones, and how often keys are dealt at most; larger keys that remain take more rounds of heads.
+SMALL, DEALS = 32, 4
 #: Chance that a pair of just the wanted similarity fails by its signatures.
 SIGNATURE_MISS = 1e-6
 _RNG = np.random.default_rng(5)
@@ -120,19 +132,102 @@ def alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long")
 
 
+def _against_pivots(texts: DataFrame, met: DataFrame, size: int, similarity: float) -> DataFrame:
+    """For rows (h, at) of ``met``: hashes of text ``at`` that pivot ``h`` has not, how many of the pivot's are missing, both sizes, and whether the two are alike."""
+
+    def table(keys, rows):
+        lost, whole, like, added = zip(*rows)
+        arrays = [pa.array(lost, pa.int64()), pa.array(whole, pa.int64()), pa.array(like, pa.bool_()), pa.array(added, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*keys.columns, *arrays], names=["h", "at", "lost", "whole", "like", "added"])
+
+    def run(batches):
+        cache, pivot, its = Words(), None, None
+        for batch in batches:
+            keys, rows, first, held = batch.select([0, 1]), [], 0, 0
+            for k, (h, one, two) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
+                if h != pivot:  # rows come sorted by h
+                    pivot, its = h, shingle_set(one.as_py(), size, cache)
+                mine = shingle_set(two.as_py(), size, cache)
+                added = np.setdiff1d(mine, its, assume_unique=True)
+                shared = len(mine) - len(added)
+                rows.append((len(its) - shared, len(its), shared >= similarity * (len(its) + len(added)) - 1e-9, added.view(np.int64)))
+                held += len(added)
+                if held > 1 << 20 or k == len(batch) - 1:  # bounded for very long texts
+                    yield table(keys.slice(first, len(rows)), rows)
+                    rows, first, held = [], k + 1, 0
+
+    text = F.col("text").cast("binary")
+    second = met.join(texts.select("at", text.alias("text_at")), "at")
+    both = second.join(texts.select(F.col("at").alias("h"), text.alias("text_h")), "h")
+    return both.select("h", "at", "text_h", "text_at").mapInArrow(released(run), "h long, at long, lost long, whole long, like boolean, added array<long>")
+
+
+def _open_keys(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows (key, at, root) of the keys whose texts are in several groups, with the number of the key's rows."""
+    if roots is None:
+        rows = keyed.select("key", "at", F.col("at").alias("root"))
+    else:
+        rows = keyed.join(roots.withColumnsRenamed({"node": "at"}), "at", "left").select("key", "at", F.coalesce("root", "at").alias("root"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rows.join(several.select("key", "rows"), "key")
+
+
+def finer_keys(texts: DataFrame, keyed: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows (key, at, root) of keys that bring the same alike pairs together, the alike pairs met on the way, and their groups' roots.
+
+    Pairs that are in one group already need no key.
+    """
+    q, found, roots = (1 - similarity) / (1 + similarity), None, None
+    rows = written(_open_keys(keyed, None), "keys")
+    small = rows.where(F.col("rows") <= SMALL).select("key", "at")
+    for _ in range(DEALS):
+        large = rows.where(F.col("rows") > SMALL)
+        if not large.limit(1).count():
+            break
+        # The text with most company is the pivot: of copies with changes the one with fewest.
+        company = large.groupBy("at").agg(F.sum("rows").alias("company"))
+        pivots = large.join(company, "at").groupBy("key").agg(F.max_by("at", F.struct("company", -F.col("at"))).alias("h"))
+        met = written(large.join(pivots, "key").where("at != h").select("h", "at").distinct(), "met")
+        against = written(_against_pivots(texts, met, size, similarity), "against")
+        discard(met)
+        fresh = against.where("like").select(F.col("h").alias("a"), F.col("at").alias("b"))
+        found = written(fresh if found is None else found.union(fresh), "alike")
+        roots = components(found)
+        of_text = _open_keys(against.select(F.col("h").alias("key"), "at"), roots).select(F.col("key").alias("h"), "at")
+        cost = (1 - q) * F.size("added") + q * (F.col("lost") - F.col("whole"))
+        open_ = written(against.join(of_text, ["h", "at"]).select("h", "at", "lost", F.size("added").alias("more"), cost.alias("cost"), "added"), "against")
+        # Least |lost - lost'| + cost' of any text of the pivot, by running minima over the few values of lost.
+        up = Window.partitionBy("h").orderBy("lost").rowsBetween(Window.unboundedPreceding, 0)
+        down = Window.partitionBy("h").orderBy(F.desc("lost")).rowsBetween(Window.unboundedPreceding, 0)
+        least = F.least(F.min(F.col("cost") - F.col("lost")).over(up) + F.col("lost"), F.min(F.col("cost") + F.col("lost")).over(down) - F.col("lost"))
+        levels = open_.groupBy("h", "lost").agg(F.min("cost").alias("cost")).select("h", "lost", least.alias("least"))
+        needs = open_.join(levels, ["h", "lost"]).withColumn("need", F.ceil((F.col("cost") + F.col("least")) / 2 - 1e-6))
+        together = needs.where("need <= 0").select(F.xxhash64(F.lit("together"), "h").alias("key"), "at")
+        additions = needs.where("need <= more").select("h", "at", (F.col("more") - F.greatest("need", F.lit(1)) + 1).alias("room"), F.explode("added").alias("x"))
+        counted = additions.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h", "x")))
+        ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("h", "at").orderBy("texts", "x")))
+        shared = ranked.where("texts > 1 AND rank <= room").select(F.xxhash64(F.lit("added"), "h", "x").alias("key"), "at")
+        again, rest = written(_open_keys(shared, roots), "keys"), written(together, "together")
+        small = small.union(rest).union(again.where(F.col("rows") <= SMALL).select("key", "at"))
+        rows = again
+        discard(against, open_)
+    else:
+        small = small.union(rows.where(F.col("rows") > SMALL).select("key", "at"))
+    return _open_keys(small, roots).select("key", "at", "root"), found, roots
+
+
 def similar_links(texts: DataFrame, sizes: DataFrame, keyed: DataFrame, size: int, similarity: float) -> DataFrame:
     """Roots (node, root) of the groups that the alike pairs among texts of one key make.
 
     ``keyed`` (key, at) has a row for each key of a text; ``sizes`` (at, n, sig) its number of shingles and signature.
     """
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first")).where("rows > 1").select("key", "first")
-    member = written(keyed.join(shared, "key").join(sizes, "at").select("key", "at", "n", "sig", (F.col("at") == F.col("first")).alias("head")), "members")
-    room, found, roots, turn = PAIRS * member.count(), None, None, 0
+    keyed, found, roots = finer_keys(texts, keyed, size, similarity)
+    firsts = keyed.groupBy("key").agg(F.min("at").alias("first"))
+    member = written(keyed.join(firsts, "key").join(sizes, "at").select("key", "at", "n", "sig", "root", (F.col("at") == F.col("first")).alias("head")), "members")
+    room, turn = PAIRS * member.count(), 0
     while True:
         heads = member.where("head").select("key", *[F.col(c).alias(f"h_{c}") for c in member.columns if c not in ("key", "head")])
-        near = (F.least("n", "h_n") >= F.greatest("n", "h_n") * similarity - 1e-9) & (F.col("at") != F.col("h_at"))
-        if roots is not None:
-            near &= F.col("root") != F.col("h_root")
+        near = (F.least("n", "h_n") >= F.greatest("n", "h_n") * similarity - 1e-9) & (F.col("root") != F.col("h_root"))
         met = member.join(heads, "key").where(near).select(F.least("h_at", "at").alias("a"), F.greatest("h_at", "at").alias("b"), "sig", "h_sig")
         pairs = written(_by_signature(met, similarity).distinct(), "pairs")
         fresh = written(alike(texts, pairs, size, similarity), "alike")

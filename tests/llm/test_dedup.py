@@ -255,6 +255,57 @@ def test_near_copies_of_a_hot_key(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(brute_heads(rows))
 
 
+def changed_copies(rng, count, words=100, changes=8):
+    """Copies of one text, each with so many changed, lost or doubled words that most are alike to few others."""
+    base, rows = [f"w{n}" for n in range(words)], []
+    for k in range(count):
+        copy = list(base)
+        for at in rng.choice(words, int(rng.integers(0, changes)), replace=False):
+            copy[at] = ["", f"w{at} w{at}", f"x{rng.integers(4)}", f"new{k}", f"new{k}"][int(rng.integers(5))]
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def test_near_copies_of_a_hot_key_cost_few_comparisons(spark, monkeypatch):
+    """Pairs compared grow with the texts of a key, not with their square."""
+    compared, alike = [], shingles.alike
+
+    def counted(texts, pairs, *more):
+        compared.append(pairs.count())
+        return alike(texts, pairs, *more)
+
+    monkeypatch.setattr(shingles, "alike", counted)
+    rows = changed_copies(np.random.default_rng(10), 500, changes=10)
+    want = brute_heads(rows)
+    assert 100 < len(want) < 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(want)
+    assert sum(compared) < 12 * len(rows)  # of 124,750 pairs
+
+
+@pytest.mark.parametrize("small, deals", [(2, 1), (3, 3), (12, 2)])
+def test_finer_keys_lose_no_alike_pair(spark, monkeypatch, small, deals):
+    """Every pair of 0.8 is met, in one group, or in a key together; texts of several kinds share one key."""
+    monkeypatch.setattr(shingles, "SMALL", small)
+    monkeypatch.setattr(shingles, "DEALS", deals)
+    rng = np.random.default_rng(11 + small)
+    rows = changed_copies(rng, 60, 60, 6) + [(100 + k, t + " tail of other words " * 3) for k, t in changed_copies(rng, 40, 45, 6)]
+    rows += [(200 + k, " ".join(f"w{n}" for n in range(60) if not k % 7 <= n - 3 * k % 40 <= 9)) for k in range(40)] + [(300, ""), (301, None), (302, "w1 w2")]
+    texts = spark.createDataFrame(rows, "at long, text string")
+    keyed = texts.selectExpr("1L AS key", "at").union(texts.where("at < 150").selectExpr("at % 3 + 2 AS key", "at"))
+    finer, found, roots = shingles.finer_keys(texts, keyed, 5, 0.8)
+    assert found is not None
+    root, keys = {r.node: r.root for r in roots.collect()}, collections.defaultdict(set)
+    for r in finer.collect():
+        keys[r.at].add(r.key)
+        assert r.root == root.get(r.at, r.at)
+    sets = {k: word_sets(t) for k, t in rows}
+    like = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    assert all(like(r.a, r.b) for r in found.collect())
+    pairs = [(i, j) for i in sets for j in sets if i < j and like(i, j)]
+    assert len(pairs) > 100 and all(root.get(i, i) == root.get(j, j) or keys[i] & keys[j] for i, j in pairs)
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     """The rows of run(): toxic documents by the operator's scores, everything after by plain code."""
     from palimpsest.llm import decontaminate, toxicity
