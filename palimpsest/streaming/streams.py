@@ -53,8 +53,14 @@ def sliding(ops: DataFrame, width: str = "2 days", step: str = "1 day", late: st
 
 
 def sessions(ops: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    s = ops.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "prefix_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.select("prefix_id", F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp("w.end").alias("end_s"), "n")
+    """Sessions from their first operation to ``gap`` after the last, which is outside: one that comes exactly then begins the next.
+
+    Spark joins windows that touch, so they are a microsecond, the least step of a
+    timestamp, shorter than the gap, and get it back at the end.
+    """
+    s = ops.withWatermark("at", late).groupBy(F.session_window("at", f"{gap} -1 microseconds").alias("w"), "prefix_id").agg(F.count(F.lit(1)).alias("n"))
+    end = F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")
+    return s.select("prefix_id", F.unix_timestamp("w.start").alias("start_s"), F.unix_timestamp(end).alias("end_s"), "n")
 
 
 def keyed_outcomes(ops: DataFrame) -> DataFrame:

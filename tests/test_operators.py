@@ -273,6 +273,20 @@ def test_stream_equals_batch(spark, sf_dir):
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
 
+def test_session_ends_before_the_gap_is_over(spark, tmp_path):
+    """Gaps to the last operation: one second less, the same, none, one second more, a microsecond less, the same."""
+    times = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 05:59:59"), (1, "2024-01-01 11:59:59"), (1, "2024-01-01 11:59:59"), (1, "2024-01-01 18:00:00")]
+    times += [(2, "2024-01-01 00:00:00.5"), (2, "2024-01-01 06:00:00.499999"), (2, "2024-01-01 12:00:00.499999")]
+    spark.createDataFrame(times, "prefix_id long, at string").withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema("prefix_id long, at timestamp").parquet(str(tmp_path / "t"))
+    got = sorted(tuple(r) for r in streams.available(streams.sessions(stream), "complete").collect())
+    day = 1704067200
+    assert got == [
+        (1, day, day + 43199, 2), (1, day + 43199, day + 64799, 2), (1, day + 64800, day + 86400, 1),
+        (2, day, day + 43200, 2), (2, day + 43200, day + 64800, 1),
+    ]
+
+
 def test_pushdown_and_pruning(spark, sf_dir):
     plan = state.outcome_counts(oplog.read(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "CartesianProduct" not in plan
